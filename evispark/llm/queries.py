@@ -6,34 +6,116 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.llm.canonical import canonicalise
-from evispark.llm.publications import publication_splits, publications, same_publication_pairs
+from evispark.llm.capping import cap_contributors
+from evispark.llm.overlaps import split_overlaps
+from evispark.llm.publications import collections, publication_splits, publications, same_publication_pairs
+from evispark.llm.results import result_groups, with_publication
+from evispark.llm.survivors import skyline_survivors
+from evispark.llm.text import source_key
 from evispark.session import Scratch, read
 
 
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "extraction_records")
+
+
+def _publications(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
+    return publications(_records(spark, sf), read(spark, sf, "canonical_terms"), scratch)
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    pubs = publications(read(spark, sf, "extraction_records"), read(spark, sf, "canonical_terms"), Scratch(spark))
-    return same_publication_pairs(pubs)
+    return same_publication_pairs(_publications(spark, sf, Scratch(spark)))
 
 
 def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
-    records, scratch = read(spark, sf, "extraction_records"), Scratch(spark)
-    pubs = scratch.keep(publications(records, read(spark, sf, "canonical_terms"), scratch))
-    return publication_splits(records, pubs, read(spark, sf, "split_plan"))
+    """Each record with its split of split_plan."""
+    scratch = Scratch(spark)
+    pubs = scratch.keep(_publications(spark, sf, scratch))
+    return publication_splits(_records(spark, sf), pubs, read(spark, sf, "split_plan"))
 
 
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    done = canonicalise(read(spark, sf, "extraction_records"), read(spark, sf, "canonical_terms"), Scratch(spark))
-    return done.where("how <> 'label'").select("row_id", "field_name", "term_id")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    done = cap_contributors(_records(spark, sf), source_key("source_id"), cap=25)
+    return done.where("not kept").select("row_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found)}
-SQL: dict[str, str] = {}
+def _period() -> F.Column:
+    """Five years of source_year; null where it is missing."""
+    return F.when(~F.isnan("source_year"), (F.floor(F.col("source_year") / 5) * 5).cast("int"))
+
+
+def p2_by_period(spark: SparkSession, sf: str) -> DataFrame:
+    """The records kept when each source's cap is shared by the five-year periods of its alloy families."""
+    stratum = F.struct(F.lower(F.trim("alloy_family")).alias("family"), _period().alias("period")).cast("string")
+    done = cap_contributors(_records(spark, sf), source_key("source_id"), cap=25, stratum=stratum)
+    return done.where("kept").select("row_id", F.col("contributor").alias("source_id"), "stratum")
+
+
+def p2_even_by_test(spark: SparkSession, sf: str) -> DataFrame:
+    """The records kept when each source's cap is shared evenly by its test types, spare slots passed on."""
+    done = cap_contributors(_records(spark, sf), source_key("source_id"), cap=25, stratum=F.lower(F.trim("test_type")), weights="equal")
+    return done.where("kept").select("row_id", F.col("contributor").alias("source_id"), "stratum")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    done = canonicalise(_records(spark, sf), read(spark, sf, "canonical_terms"), Scratch(spark))
+    return done.where("how <> 'label'").select("row_id", "field_name", "term_id")
 
 
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     """Filled values by field and how they were mapped, with the misses."""
-    done = canonicalise(read(spark, sf, "extraction_records"), read(spark, sf, "canonical_terms"), Scratch(spark))
+    done = canonicalise(_records(spark, sf), read(spark, sf, "canonical_terms"), Scratch(spark))
     return done.groupBy("field_name", "how").agg(F.count("*").alias("n_rows"), F.countDistinct("value").alias("n_values"))
 
 
-QUERIES |= {"p3_report": p3_report}
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Publications come from the records and the view rows together: either may name a DOI the other lacks."""
+    scratch = Scratch(spark)
+    records, views = _records(spark, sf), read(spark, sf, "view_rows")
+    named = ["source_id", "record_id", "doi", "source_title", "alloy", "am_process"]
+    both = records.select(*named).unionByName(views.select(*(c for c in named if c != "source_title")), allowMissingColumns=True)
+    pubs = scratch.keep(publications(both, read(spark, sf, "canonical_terms"), scratch))
+    return split_overlaps(with_publication(views, pubs, scratch.keep(collections(both))), scratch)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _overlaps(spark, sf)
+    return pairs.select(
+        F.least("train_id", "held_id").alias("view_row_id_a"), F.greatest("train_id", "held_id").alias("view_row_id_b")
+    )
+
+
+def p4_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping validation and test rows by split and source."""
+    return _overlaps(spark, sf).groupBy("held_split", source_key("source_id").alias("source_id")).agg(
+        F.count("*").alias("n_pairs"), F.countDistinct("held_id").alias("n_rows"), F.sum(F.col("same_fingerprint").cast("int")).alias("n_same_fingerprint")
+    )
+
+
+def _groups(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
+    records = _records(spark, sf)
+    pubs = scratch.keep(_publications(spark, sf, scratch))
+    return scratch.keep(result_groups(with_publication(records, pubs, collections(records)), scratch))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    scratch = Scratch(spark)
+    groups = _groups(spark, sf, scratch)
+    best = skyline_survivors(_records(spark, sf), groups, scratch, fields=())
+    return groups.join(best, "g").select("row_id", F.col("survivor").alias("survivor_row_id"))
+
+
+def p5_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    """One record for each group, its missing fields filled from the next dominance layers."""
+    scratch = Scratch(spark)
+    return skyline_survivors(_records(spark, sf), _groups(spark, sf, scratch), scratch).drop("g")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_splits, p2_found, p2_by_period, p2_even_by_test, p3_found, p3_report, p4_found, p4_report, p5_found,
+        p5_survivors,
+    )
+}
+SQL: dict[str, str] = {}
