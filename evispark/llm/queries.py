@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from evispark.llm.canonical import canonicalise
 from evispark.llm.capping import cap_contributors
 from evispark.llm.overlaps import split_overlaps
+from evispark.llm.packing import pack_documents, unused_space
 from evispark.llm.publications import collections, publication_splits, publications, same_publication_pairs
 from evispark.llm.results import result_groups, with_publication
+from evispark.llm.spam import page_scores
 from evispark.llm.survivors import skyline_survivors
 from evispark.llm.text import source_key
+from evispark.llm.tokens import encoded, spread
 from evispark.session import Scratch, read
 
 
@@ -111,11 +114,42 @@ def p5_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return skyline_survivors(_records(spark, sf), _groups(spark, sf, scratch), scratch).drop("g")
 
 
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", encoded(F.col("text")).alias("ids"))
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(read(spark, sf, "documents"), read(spark, sf, "container_specs"), Scratch(spark))
+
+
+def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's container, or containers of its pieces, for each capacity."""
+    return _packed(spark, sf)
+
+
+def p9_unused(spark: SparkSession, sf: str) -> DataFrame:
+    return unused_space(_packed(spark, sf))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return page_scores(read(spark, sf, "documents"), Scratch(spark)).where("found").select("doc_id")
+
+
+def p10_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages found and their words by source."""
+    documents = read(spark, sf, "documents")
+    scores = page_scores(documents, Scratch(spark))
+    return documents.select("doc_id", "source").join(scores, "doc_id").groupBy("source").agg(
+        F.count("*").alias("n_documents"), F.sum(F.col("found").cast("int")).alias("n_found"), F.sum(F.when(F.col("found"), F.col("n_words"))).alias("n_words_found")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_splits, p2_found, p2_by_period, p2_even_by_test, p3_found, p3_report, p4_found, p4_report, p5_found,
-        p5_survivors,
+        p5_survivors, p8_ids, p9_containers, p9_unused, p10_found,
+        p10_report,
     )
 }
 SQL: dict[str, str] = {}
