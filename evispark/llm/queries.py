@@ -9,7 +9,7 @@ from evispark.llm.canonical import canonicalise
 from evispark.llm.capping import cap_contributors
 from evispark.llm.overlaps import split_overlaps
 from evispark.llm.packing import pack_documents, unused_space
-from evispark.llm.publications import collections, publication_splits, publications, same_publication_pairs
+from evispark.llm.publications import publication_splits, publications, same_publication_pairs
 from evispark.llm.results import result_groups, with_publication
 from evispark.llm.spam import page_scores
 from evispark.llm.survivors import skyline_survivors
@@ -78,7 +78,7 @@ def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
     named = ["source_id", "record_id", "doi", "source_title", "alloy", "am_process"]
     both = records.select(*named).unionByName(views.select(*(c for c in named if c != "source_title")), allowMissingColumns=True)
     pubs = scratch.keep(publications(both, read(spark, sf, "canonical_terms"), scratch))
-    return split_overlaps(with_publication(views, pubs, scratch.keep(collections(both))), scratch)
+    return split_overlaps(with_publication(views, pubs), scratch)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +98,7 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
 def _groups(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
     records = _records(spark, sf)
     pubs = scratch.keep(_publications(spark, sf, scratch))
-    return scratch.keep(result_groups(with_publication(records, pubs, collections(records)), scratch))
+    return scratch.keep(result_groups(with_publication(records, pubs), scratch))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

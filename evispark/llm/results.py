@@ -40,10 +40,9 @@ def agreement(a: DataFrame, b: DataFrame, measures: list[str], left: str = "", r
     return anchored & all_close
 
 
-def with_publication(df: DataFrame, pubs: DataFrame, collections: DataFrame) -> DataFrame:
+def with_publication(df: DataFrame, pubs: DataFrame) -> DataFrame:
     """df with pub: the publication of its source_id; inside a collection the DOI, or the record without one."""
-    known = pubs.join(collections.select("s").withColumn("many", F.lit(True)), "s", "left")
-    joined = df.withColumn("s", source_key("source_id")).join(known, "s", "left")
+    joined = df.withColumn("s", source_key("source_id")).join(pubs, "s", "left")
     inside = F.coalesce(F.concat(F.lit("doi:"), doi_key("doi")), F.concat(F.lit("rec:"), F.coalesce("record_id", F.lit(""))))
     return joined.withColumn("pub", F.when(F.col("many"), inside).otherwise(F.coalesce("pub", "s"))).drop("s", "many")
 
