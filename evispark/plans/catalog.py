@@ -7,19 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("training",)
+from evispark.plans import registry, training
 
-
-def _modules():
-    return [importlib.import_module(f"evispark.plans.{m}") for m in MODULES]
+MODULES = ("fields", "selecting", "measuring")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    for m in MODULES:
+        importlib.import_module(f"evispark.plans.{m}")
+    return {**registry.QUERIES, **training.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _modules() for k, s in m.SQL.items()}
+    queries()
+    return dict(registry.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
