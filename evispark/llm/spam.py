@@ -99,23 +99,28 @@ def words_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 class Batch:
-    """Words and pairs of some documents in flat arrays."""
+    """Words and pairs of some documents in flat arrays, as places in the arrays of distinct ones (words, pairs)."""
 
     def __init__(self, words: list[np.ndarray]):
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         self.docs = len(words)
         self.sizes = sizes
-        self.word = np.concatenate(words).astype(np.int64) if len(words) and sizes.sum() else np.zeros(0, dtype=np.int64)
+        flat = np.concatenate(words).astype(np.int64) if len(words) and sizes.sum() else np.zeros(0, dtype=np.int64)
+        self.word, self.words = pd.factorize(flat)
         self.doc = np.repeat(np.arange(len(words)), sizes)
-        self.numbers = np.bincount(self.doc[self.word == 0], minlength=len(words))
-        a, b = self.word[:-1], self.word[1:]
-        real = (self.doc[:-1] == self.doc[1:]) & ((a != 0) | (b != 0)) if len(self.word) else np.zeros(0, dtype=bool)
-        self.left, self.right, self.pair_doc = a[real], b[real], self.doc[:-1][real]
-        self.pair = self.pairs(self.left, self.right)
+        number = flat == 0
+        self.numbers = np.bincount(self.doc[number], minlength=len(words))
+        real = (self.doc[:-1] == self.doc[1:]) & ~(number[:-1] & number[1:])
+        self.left, self.right, self.pair_doc = self.word[:-1][real], self.word[1:][real], self.doc[:-1][real]
+        self.pair, distinct = pd.factorize(self.left * max(1, len(self.words)) + self.right)
+        a, b = np.divmod(distinct, max(1, len(self.words)))
+        self.pairs = self.mixed(self.words[a], self.words[b])
+        #: Whether a distinct pair is of two words.
+        self.verbal = (self.words[a] != 0) & (self.words[b] != 0)
         self.pairs_in = np.bincount(self.pair_doc, minlength=len(words))
 
     @staticmethod
-    def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         mixed ^= mixed >> np.uint64(29)
         return (mixed & np.uint64(_MASK)).astype(np.int64) & ~np.int64(1)  # even: never a word
@@ -125,14 +130,10 @@ class Batch:
 
     def stuffed(self) -> np.ndarray:
         """Share of a document's pairs that are words repeated in excess."""
-        order = np.lexsort((self.pair, self.pair_doc))
-        d, p = self.pair_doc[order], self.pair[order]
-        new = np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])] if len(d) else np.zeros(0, dtype=bool)
-        run = np.cumsum(new) - 1
-        times = np.bincount(run)[run] if len(d) else np.zeros(0)
-        much = (times >= REPEATS) & (times >= REPEAT_SHARE * self.pairs_in[d])
-        much &= (self.left[order] != 0) & (self.right[order] != 0)
-        return np.bincount(d, weights=much, minlength=self.docs) / np.maximum(1, self.pairs_in)
+        place, _ = pd.factorize(self.pair_doc * max(1, len(self.pairs)) + self.pair)
+        times = np.bincount(place)[place] if len(place) else np.zeros(0)
+        much = (times >= REPEATS) & (times >= REPEAT_SHARE * self.pairs_in[self.pair_doc])
+        return self.share(much & self.verbal[self.pair])
 
     def suspects(self, links: np.ndarray) -> np.ndarray:
         n = np.maximum(1, self.sizes)
@@ -140,22 +141,20 @@ class Batch:
         listed = (links / n > LINKS) & (self.numbers / n < LINK_NUMBERS) & (links >= 5)
         return ((self.stuffed() > STUFFED) & few & (self.sizes >= 30)) | (listed & (self.sizes >= 20))
 
-    def counts(self, suspect: np.ndarray) -> pd.DataFrame:
-        """(feature, n, df, df_suspect) of words and pairs."""
-        feature = np.r_[self.word, self.pair]
-        doc = np.r_[self.doc, self.pair_doc]
-        order = np.lexsort((doc, feature))
-        f, d = feature[order], doc[order]
-        if not len(f):
-            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("feature", "n", "df", "df_suspect")})
-        new = np.r_[True, f[1:] != f[:-1]]
-        first = new | np.r_[True, d[1:] != d[:-1]]
-        run = np.cumsum(new) - 1
+    def _counted(self, feature: np.ndarray, place: np.ndarray, doc: np.ndarray, suspect: np.ndarray) -> pd.DataFrame:
+        each = pd.unique(place * self.docs + doc)
+        of, d = np.divmod(each, max(1, self.docs))
         return pd.DataFrame({
-            "feature": f[new], "n": np.bincount(run), "df": np.bincount(run, weights=first).astype(np.int64),
-            "df_suspect": np.bincount(run, weights=first & suspect[d]).astype(np.int64),
+            "feature": feature, "n": np.bincount(place, minlength=len(feature)), "df": np.bincount(of, minlength=len(feature)),
+            "df_suspect": np.bincount(of[suspect[d]], minlength=len(feature)),
         })
 
+    def counts(self, suspect: np.ndarray) -> pd.DataFrame:
+        """(feature, n, df, df_suspect) of words and pairs."""
+        return pd.concat(
+            [self._counted(self.words, self.word, self.doc, suspect), self._counted(self.pairs, self.pair, self.pair_doc, suspect)]
+        )
+
 
 class Lexicon:
     """Counts of the frequent words and pairs, sorted for binary search."""
@@ -183,10 +182,11 @@ class Lexicon:
 
     def score(self, b: Batch) -> tuple[np.ndarray, np.ndarray]:
         """(share of spam pairs, mean PMI of neighbouring words) of each document."""
-        p, x, y = self.find(b.pair), self.find(b.left), self.find(b.right)
+        p, w = self.find(b.pairs)[b.pair], self.find(b.words)
+        x, y = w[b.left], w[b.right]
         lx, ly = self._value(x, self.odds), self._value(y, self.odds)
         odds = np.where(p >= 0, self._value(p, self.odds), np.where(np.minimum(lx, ly) > 0, np.maximum(lx, ly), np.minimum(lx, ly)))
-        both = (p >= 0) & (x >= 0) & (y >= 0) & (b.left != 0) & (b.right != 0)
+        both = (p >= 0) & (x >= 0) & (y >= 0) & b.verbal[b.pair]
         pmi = np.zeros(len(p))
         pmi[both] = np.log(self.n[p[both]] * self.words / (self.n[x[both]] * self.n[y[both]]))
         seen = np.bincount(b.pair_doc, weights=both, minlength=b.docs)
