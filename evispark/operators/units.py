@@ -81,10 +81,12 @@ _END = r"(?![\w²³⁻^/])"
 _NO_TIME = r"(?!\s*(?:/|per\b|[·⋅*]|(?:s|secs?|min|mins)\b))"
 
 
-def _number(text: str) -> float:
+def _readings(text: str) -> list[float]:
+    """What a written number may mean: a single comma before three digits divides thousands or decimals."""
     if re.fullmatch(r"[1-9]\d{0,2}(,\d{3})+(\.\d+)?", text):
-        return float(text.replace(",", ""))
-    return float(text.replace(",", "."))
+        whole = float(text.replace(",", ""))
+        return [whole, float(text.replace(",", "."))] if text.count(",") == 1 and "." not in text else [whole]
+    return [float(text.replace(",", "."))]
 
 
 def _compiled(q: Quantity):
@@ -111,10 +113,14 @@ def told(q: Quantity):
         for m in quantity.finditer(text):
             if other.search(text[max(0, m.start() - 20) : m.start()]):
                 continue
-            common = _number(m[1]) * q.units[which(m)][1]
-            if not stored or not common > 0:
+            if not stored or not stored > 0:
                 continue
-            near = [(abs(math.log(stored * f / common)), u) for u, f, _ in q.units if stored > 0]
+            near = [
+                (abs(math.log(stored * f / common)), u)
+                for common in (x * q.units[which(m)][1] for x in _readings(m[1]) if x > 0)
+                for u, f, _ in q.units
+                if q.least <= stored * f <= q.most
+            ]
             if near and min(near)[0] < 0.01:
                 return min(near)[1]
         for m in heading.finditer(text):
