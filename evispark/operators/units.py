@@ -1,10 +1,11 @@
 """Problem 7: quantities recorded in different units, told only in text.
 
 Each source_file holds one unit per quantity. What the texts of its rows tell are votes: a quantity with its unit is held
-against the stored number, which then says in which unit it is stored; a column heading names the unit itself. Files
-without votes get their unit from a random forest over magnitude, roundness in each unit, neighbouring fields and the
-file's other rows, trained on rows whose unit the texts tell and calibrated on rows held out; what it can't tell with
-confidence goes to review.
+against the stored number, which then says in which unit it is stored; a column heading names the unit itself. A random
+forest predicts the unit of every row from magnitude, roundness in each unit, neighbouring fields, the file's spread and
+the votes of the file's other rows. It is trained on rows whose unit the texts tell, calibrated on rows held out, and its
+calibrated probabilities are added up over each file. A check follows: where a file's own votes contradict it, they count;
+what it can't tell with confidence and no vote tells goes to review.
 """
 
 from __future__ import annotations
@@ -153,10 +154,14 @@ def _log(c: Column) -> Column:
 
 
 def _features(q: Quantity, rows: DataFrame, files: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Magnitude, plausibility and roundness in each unit, neighbours, and the mean and spread over the file."""
+    """Magnitude, plausibility and roundness in each unit, neighbours, the mean and spread over the file, and the share of
+    votes for each unit among the file's other rows."""
     joined = rows.join(files, "file", "left")
     cols = {"f_mag": _log(F.col("x")), "f_near": _log(F.col("near")), "f_power": _log(F.col("power")), "f_layer": _log(F.col("layer"))}
-    for i, (_, f, _) in enumerate(q.units):
+    others = F.greatest(F.coalesce("votes", F.lit(0)) - F.col("told").isNotNull().cast("int"), F.lit(1))
+    for i, (u, f, _) in enumerate(q.units):
+        own = F.coalesce((F.col("told") == u).cast("int"), F.lit(0))
+        cols[f"f_vote{i}"] = (F.coalesce(f"votes{i}", F.lit(0)) - own) / others
         v = F.col("x") * f
         cols[f"f_round{i}"] = F.coalesce(F.least(F.abs(v - F.round(v)) / F.greatest(v * 2e-4, F.lit(0.02)), F.lit(5.0)), F.lit(5.0))
         cols[f"f_in{i}"] = F.coalesce(((v >= q.least) & (v <= q.most)).cast("double"), F.lit(0.0))
@@ -217,8 +222,8 @@ def _classified(q: Quantity, rows: DataFrame, files: DataFrame, scratch: Scratch
 def common_units(df: DataFrame, scratch: Scratch, key: str = "row_id", quantities: tuple[Quantity, ...] = QUANTITIES) -> DataFrame:
     """(key, field_name, stored, unit, value_common, how) of every filled (neither null nor NaN) quantity.
 
-    how: "told" (texts of the file), "learnt" (the classifier, with confidence), "review" (unit and value_common are null),
-    "assumed" (nothing tells, nothing to learn from: the unit the column names). Rows without source_file form one file
+    how: "learnt" (the classifier, with confidence and no vote against it), "told" (texts of the file, where the classifier
+    is unsure or they contradict it), "review" (neither tells: unit and value_common are null), "assumed" (nothing tells, nothing to learn from: the unit the column names). Rows without source_file form one file
     per row key. Repeated rows have a row each, extra columns are ignored, an empty table gives an empty result."""
     parts = []
     for q in quantities:
@@ -237,7 +242,10 @@ def common_units(df: DataFrame, scratch: Scratch, key: str = "row_id", quantitie
         decided = votes.groupBy("file").agg(F.max_by("told", F.struct("n_with", "n", "told")).alias("voted"))
         files = scratch.keep(
             rows.groupBy("file")
-            .agg(F.avg(F.when(F.col("x") > 0, F.log10("x"))).alias("mean_log"), F.stddev_pop(F.when(F.col("x") > 0, F.log10("x"))).alias("sd_log"))
+            .agg(
+                F.avg(F.when(F.col("x") > 0, F.log10("x"))).alias("mean_log"), F.stddev_pop(F.when(F.col("x") > 0, F.log10("x"))).alias("sd_log"),
+                F.count("told").alias("votes"), *(F.count_if(F.col("told") == u).alias(f"votes{i}") for i, (u, _, _) in enumerate(q.units)),
+            )
             .join(decided, "file", "left")
         )
         guessed = _classified(q, rows, files.drop("voted"), scratch)
@@ -245,11 +253,11 @@ def common_units(df: DataFrame, scratch: Scratch, key: str = "row_id", quantitie
         if guessed is None:
             verdict = files.select("file", F.coalesce("voted", F.lit(base)).alias("unit"), F.when(F.col("voted").isNotNull(), "told").otherwise("assumed").alias("how"))
         else:
-            learnt = F.col("sure") >= CONFIDENT
+            learnt = F.coalesce(F.col("sure") >= CONFIDENT, F.lit(False)) & F.coalesce(F.col("voted") == F.col("guess"), F.lit(True))
             verdict = files.join(guessed, "file", "left").select(
                 "file",
-                F.coalesce("voted", F.when(learnt, F.col("guess"))).alias("unit"),
-                F.when(F.col("voted").isNotNull(), "told").when(learnt, "learnt").otherwise("review").alias("how"),
+                F.when(learnt, F.col("guess")).otherwise(F.col("voted")).alias("unit"),
+                F.when(learnt, "learnt").when(F.col("voted").isNotNull(), "told").otherwise("review").alias("how"),
             )
         factor = F.create_map(*(x for u, f, _ in q.units for x in (F.lit(u), F.lit(f))))
         parts.append(
