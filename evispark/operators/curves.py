@@ -93,16 +93,16 @@ def isotonic(df: DataFrame, keys: list[str], score: str, label: str, most_points
 
     Scores are aggregated first, to four decimals where a group would have more than ``most_points`` of them, so a task
     holds at most that many points of a group however many rows it has."""
-    fine = df.groupBy(*keys, score).agg(F.sum(F.col(label).cast("double")).alias("s"), F.count(label).alias("n"))
+    fine = df.groupBy(*keys, F.col(score).cast("double").alias("_x")).agg(F.sum(F.col(label).cast("double")).alias("_s"), F.count(label).alias("_n"))
     many = fine.groupBy(*keys).agg(F.count("*").alias("_points"))
-    rounded = F.when(F.col("_points") > most_points, F.round(score, 4)).otherwise(F.col(score))
-    points = fine.join(many, keys).groupBy(*keys, rounded.alias(score)).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    rounded = F.when(F.col("_points") > most_points, F.round("_x", 4)).otherwise(F.col("_x"))
+    points = fine.join(many, keys).groupBy(*keys, rounded.alias("_r")).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
     kinds = dict(df.dtypes)
 
     def pool(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(score)
+        pdf = pdf.sort_values("_r")
         blocks: list[list[float]] = []
-        for s, n in zip(pdf["s"], pdf["n"]):
+        for s, n in zip(pdf["_s"], pdf["_n"]):
             blocks.append([s, n, 1])
             while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
                 s2, n2, k2 = blocks.pop()
@@ -110,7 +110,7 @@ def isotonic(df: DataFrame, keys: list[str], score: str, label: str, most_points
                 blocks[-1][1] += n2
                 blocks[-1][2] += k2
         values = [s / n for s, n, k in blocks for _ in range(k)]
-        return pd.DataFrame({**{c: pdf[c] for c in keys}, score: pdf[score], "value": values})
+        return pd.DataFrame({**{c: pdf[c] for c in keys}, score: pdf["_r"], "value": values})
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", {score} double, value double"
-    return points.where("n > 0").withColumn(score, F.col(score).cast("double")).groupBy(*keys).applyInPandas(pool, schema)
+    return points.where("_n > 0").groupBy(*keys).applyInPandas(pool, schema)

@@ -234,11 +234,11 @@ def r4_per_source_topk(spark, sf):
     return R.per_source(scored.join(docs.select("doc_id", "source"), "doc_id"), "source", "doc_id", 2)
 
 
-@query("""SELECT p_brand, p_type, count(*) AS n_rows, count(DISTINCT l_suppkey) AS n_sources, round(avg(l_extendedprice), 2) AS mean_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
+@query("""SELECT p_brand, p_type, count(*) AS n_rows, count(DISTINCT l_suppkey) AS n_sources, round(sum(l_extendedprice), 2) AS price, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue,
 CASE WHEN count(*) >= 30 AND count(DISTINCT l_suppkey) >= 3 THEN 'adequate' ELSE 'limited' END AS level FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY p_brand, p_type""")
 def a21_evidence_by_domain(spark, sf):
     rows = read(spark, sf, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp")).join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     g = rows.groupBy("p_brand", "p_type").agg(
-        F.count("*").alias("n_rows"), F.countDistinct("l_suppkey").alias("n_sources"), F.round(F.avg("l_extendedprice"), 2).alias("mean_price"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
+        F.count("*").alias("n_rows"), F.countDistinct("l_suppkey").alias("n_sources"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 1).alias("revenue")
     )
     return g.withColumn("level", F.when((F.col("n_rows") >= 30) & (F.col("n_sources") >= 3), "adequate").otherwise("limited"))
