@@ -152,4 +152,17 @@ QUERIES = {
         p10_report,
     )
 }
-SQL: dict[str, str] = {}
+
+_TRUST = "CASE WHEN confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) THEN confidence ELSE -1 END"
+_SOURCE = "nullif(lower(regexp_replace(source_id, '^\\s+|\\s+$', '', 'g')), '')"
+_STRATA = f"""WITH r AS (SELECT row_id, {_SOURCE} AS source_id, {{stratum}} AS stratum, {_TRUST} AS q, extracted_at AS t FROM extraction_records),
+n AS (SELECT source_id, stratum, count(*) AS n, sum(count(*)) OVER (PARTITION BY source_id) AS total, count(*) OVER (PARTITION BY source_id) AS m FROM r WHERE source_id IS NOT NULL GROUP BY source_id, stratum),
+k AS (SELECT r.*, row_number() OVER (PARTITION BY source_id, stratum ORDER BY q DESC, t DESC NULLS LAST, row_id) AS k FROM r)"""
+SQL: dict[str, str] = {
+    "p2_found": f"""SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY {_SOURCE} ORDER BY {_TRUST} DESC, extracted_at DESC NULLS LAST, row_id) AS k
+        FROM extraction_records WHERE {_SOURCE} IS NOT NULL) WHERE k > 25""",
+    "p2_by_period": _STRATA.format(stratum="concat('{', coalesce(lower(trim(alloy_family)), 'null'), ', ', coalesce(CAST(CAST(floor(CASE WHEN NOT isnan(source_year) THEN source_year END / 5) * 5 AS INT) AS VARCHAR), 'null'), '}')")
+    + """, s AS (SELECT *, 25 * n // total AS base, 25 * n % total AS rest FROM n),
+    a AS (SELECT source_id, stratum, CASE WHEN total <= 25 THEN n ELSE base + CASE WHEN row_number() OVER (PARTITION BY source_id ORDER BY rest DESC, n DESC, stratum) <= 25 - sum(base) OVER (PARTITION BY source_id) THEN 1 ELSE 0 END END AS quota FROM s)
+    SELECT k.row_id, k.source_id, k.stratum FROM k LEFT JOIN a ON a.source_id = k.source_id AND a.stratum IS NOT DISTINCT FROM k.stratum WHERE k.source_id IS NULL OR k.k <= a.quota""",
+}

@@ -66,11 +66,14 @@ def skyline_survivors(
 
     Before layering, a record dominated by one that is filled in the same fields is set aside: it can give nothing that
     the other doesn't. That leaves few records of any group, and is done in parts where a group is large, so no group is
-    ever whole in one task. Null, blank and NaN count as lacking; ties end at the least key; empty in, empty out."""
-    names = tuple(dict.fromkeys(COMPLETENESS + tuple(fields)))
+    ever whole in one task. Null, blank and NaN count as lacking; ties end at the least key; fields that
+    the table lacks are ignored; empty in, empty out."""
+    counted = tuple(c for c in COMPLETENESS if c in df.columns)
+    fields = tuple(c for c in fields if c in df.columns)
+    names = tuple(dict.fromkeys(counted + fields))
     have = _filled(df, names)
     pattern = sum((F.when(have[c].isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(names)), F.lit(0))
-    complete = sum((have[c].isNotNull().cast("int") for c in COMPLETENESS), F.lit(0))
+    complete = sum((have[c].isNotNull().cast("int") for c in counted), F.lit(0))
     rows = df.select(
         F.col(key).alias("k"), pattern.alias("pattern"), complete.alias("complete"), trusted(F.col("confidence")).alias("q"),
         moment(F.col("extracted_at")).alias("t"), *(have[c].alias(c) for c in fields),
@@ -81,7 +84,7 @@ def skyline_survivors(
         w = Window.partitionBy(*by).orderBy(F.desc("q"), F.desc("t"), "k").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("newest", F.max("t").over(w)).where("newest is null or t > newest").drop("newest")
     buckets = max(1, min(4096, groups.count() // 20_000 + 1))
-    shape = f"g string, survivor bigint, n_records bigint, n_layers int" + "".join(f", {c} {dict(df.dtypes)[c]}" for c in fields)
+    shape = "g string, survivor bigint, n_records bigint, n_layers int" + "".join(f", {c} {dict(df.dtypes)[c]}" for c in fields)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("g", kind="stable").reset_index(drop=True)
