@@ -93,7 +93,7 @@ class FullTextIndex:
 
 
 #: Distinct segments of one shard; their number follows the table.
-SHARD = 60_000
+SHARD = 15_000
 
 
 def _numbered(kind: str):
