@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evispark.session import Scratch
+
 
 def best_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order, which must end in something unique."""
@@ -21,25 +23,45 @@ def top_per_key(df: DataFrame, keys: list[str], k: int, *order: Column, rank: st
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def even_sample(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], scratch: Scratch) -> DataFrame:
+    """df with _i, each row's place from 0 within its key, and _n, the key's rows.
+
+    Rows are laid out by ranges of key and order, ranked within a range, and shifted by the key's rows in earlier ranges:
+    a key with a third of all rows spreads over a third of the ranges. Nulls come first. The order must be total."""
+    spark = df.sparkSession
+    ranges = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    laid = scratch.keep(df.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    per = laid.groupBy(*keys, "_range").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*keys)
+    shift = per.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_range").alias("_at"), (F.sum("_c").over(whole.orderBy("_range")) - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("_n"))
+    same = F.col("_range") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    out = laid.withColumn("_r", inner).join(shift, same).withColumn("_i", F.col("_r") + F.col("_before"))
+    return out.select(*df.columns, "_i", "_n")
+
+
+def even_sample(df: DataFrame, keys: list[str], k: int, order: list[str], scratch: Scratch) -> DataFrame:
     """At most k rows of each key, evenly spaced over the order, both ends included (places rounded half to even)."""
-    w = Window.partitionBy(*keys)
-    numbered = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    numbered = ranked(df, keys, order, scratch)
     places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.bround(j * (F.col("_n") - 1) / (k - 1), 0).cast("int"))
     return numbered.where((F.col("_n") <= k) | F.array_contains(places, F.col("_i").cast("int"))).drop("_i", "_n")
 
 
-def numbered(df: DataFrame, prefix: str, by: list[str], *order: Column, width: int = 6, name: str = "sequence_id") -> DataFrame:
+def numbered(df: DataFrame, prefix: str, by: list[str], order: list[str], scratch: Scratch, width: int = 6, name: str = "sequence_id") -> DataFrame:
     """Sequential ids prefix_000001 within each group of ``by``."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn(name, F.concat(F.lit(prefix + "_"), F.lpad(n.cast("string"), width, "0")))
+    place = F.lpad((F.col("_i") + 1).cast("string"), width, "0")
+    return ranked(df, by, order, scratch).withColumn(name, F.concat(F.lit(prefix + "_"), place)).drop("_i", "_n")
+
 
+def balanced(df: DataFrame, group: str, least: int, target: int, key: list[str], *order: Column) -> DataFrame:
+    """Up to ``least`` of each group first, then the best of the rest until ``target`` rows; a top-k report.
 
-def balanced(df: DataFrame, group: str, least: int, target: int, *order: Column) -> DataFrame:
-    """Up to ``least`` of each group first, then the best of the rest until ``target`` rows; a top-k report."""
-    w = Window.partitionBy(group).orderBy(*order)
-    ranked = df.withColumn("_k", F.row_number().over(w)).withColumn("seeded", F.col("_k") <= least)
-    return ranked.orderBy(F.desc("seeded"), *order).limit(target).drop("_k")
+    Both picks are limited before their shuffle; no group is ranked whole."""
+    seeds = top_per_key(df, [group], least, *order).drop("rank").withColumn("seeded", F.lit(True))
+    rest = df.join(seeds.select(*key), key, "left_anti").orderBy(*order).limit(target).withColumn("seeded", F.lit(False))
+    return seeds.unionByName(rest).orderBy(F.desc("seeded"), *order).limit(target)
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

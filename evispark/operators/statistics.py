@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evispark.session import Scratch
+
 
 def regression_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     """(keys, n, mae, rmse, r2) over pairs of finite numbers; r2 is null under two rows or without spread."""
@@ -88,50 +88,96 @@ def coverage(df: DataFrame, columns: list[str], source: str) -> DataFrame:
     )
 
 
-def concordance(df: DataFrame, keys: list[str], time: str, event: str, risk: str) -> DataFrame:
+def _lower_later(order: list, risk: list, weight: list, rows: list) -> tuple[float, float]:
+    """(pairs, concordant) of weighted rows with a strictly later order, where lower risks count one, equal ones a half.
+
+    Swept from the last order on, with a tree of sums over risk ranks."""
+    ranks = pd.Series(risk).rank(method="dense").astype(int).tolist() if risk else []
+    top = max(ranks, default=0)
+    tree = [0] * (top + 1)
+
+    def below(i: int) -> int:
+        total = 0
+        while i > 0:
+            total += tree[i]
+            i -= i & -i
+        return total
+
+    places = sorted(range(len(order)), key=lambda i: order[i], reverse=True)
+    pairs = good = 0.0
+    i = seen = 0
+    while i < len(places):
+        j = i
+        while j < len(places) and order[places[j]] == order[places[i]]:
+            j += 1
+        for k in places[i:j]:
+            if weight[k]:
+                under, upto = below(ranks[k] - 1), below(ranks[k])
+                pairs += weight[k] * seen
+                good += weight[k] * (under + 0.5 * (upto - under))
+        for k in places[i:j]:
+            r = ranks[k]
+            while r <= top:
+                tree[r] += rows[k]
+                r += r & -r
+            seen += rows[k]
+        i = j
+    return pairs, good
+
+
+def _block(value: str, bounds: Column) -> Column:
+    """Odd for a value that is a bound, even between bounds: a value that many rows share has a block of its own."""
+    under = F.size(F.filter(bounds, lambda b: b < F.col(value)))
+    return 2 * under + F.array_contains(bounds, F.col(value)).cast("int")
+
+
+def concordance(df: DataFrame, keys: list[str], time: str, event: str, risk: str, scratch: Scratch, block: int = 50_000, most: int = 256) -> DataFrame:
     """(keys, n_pairs, c_index): Harrell's concordance under right censoring; equal risks count a half.
 
-    A pair counts where the earlier row is an event and the later time is greater. Rows are swept from the latest time
-    with a tree of risk ranks, so a group of n rows costs n log n, not n squared."""
-
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[time, risk]).sort_values(time, ascending=False, kind="stable")
-        ranks = pdf[risk].rank(method="dense").astype(int).tolist()
-        tree, top = [0] * (max(ranks, default=0) + 1), max(ranks, default=0)
-
-        def below(i: int) -> int:
-            total = 0
-            while i > 0:
-                total += tree[i]
-                i -= i & -i
-            return total
-
-        pairs = good = 0.0
-        times, events = pdf[time].tolist(), pdf[event].tolist()
-        i = seen = 0
-        while i < len(times):
-            j = i
-            while j < len(times) and times[j] == times[i]:
-                j += 1
-            for k in range(i, j):
-                if events[k]:
-                    # Rows seen so far live longer; concordant where their risk is lower.
-                    under, upto = below(ranks[k] - 1), below(ranks[k])
-                    pairs += seen
-                    good += under + 0.5 * (upto - under)
-            for k in range(i, j):
-                r = ranks[k]
-                while r <= top:
-                    tree[r] += 1
-                    r += r & -r
-            seen += j - i
-            i = j
-        head = {c: [pdf[c].iloc[0] if len(pdf) else None] for c in keys}
-        return pd.DataFrame(head | {"n_pairs": [int(pairs)], "c_index": [good / pairs if pairs else math.nan]})
-
+    A pair counts where the earlier row is an event and the later time is greater. Equal rows are one weighted row. Times
+    and risks are cut into blocks of about ``block`` rows (at most ``most``) at approximate quantiles. Pairs that differ in
+    both blocks are counted from the grid of block counts, those of one risk block by risk and time block, those of one
+    time block by sweeping it: exact, and no task holds more than a block or the grid. Keys without a pair have a null."""
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n_pairs bigint, c_index double"
-    return df.select(*keys, time, event, risk).groupBy(*keys).applyInPandas(sweep, schema)
+    head = ", ".join(f"{c} {kinds[c]}" for c in keys)
+    rows = df.select(*keys, F.col(time).cast("double").alias("_t"), F.col(event).alias("_e"), F.col(risk).cast("double").alias("_r"))
+    rows = rows.where("_t is not null and _r is not null and not isnan(_t) and not isnan(_r)")
+    rows = rows.groupBy(*keys, "_t", "_r").agg(F.count_if(F.col("_e")).alias("_w"), F.count("*").alias("_n"))
+    shares = F.array(*(F.lit(i / most) for i in range(1, most)))
+    cuts = rows.groupBy(*keys).agg(F.count("*").alias("_size"), F.percentile_approx("_t", shares, 10_000).alias("_bt"), F.percentile_approx("_r", shares, 10_000).alias("_br"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(most * block) / F.col("_size"))).cast("int")
+    few = lambda c: F.array_distinct(F.filter(c, lambda _, i: (i + 1) % step == 0))
+    cuts = cuts.select(*(F.col(k).alias(f"_of_{k}") for k in keys), few("_bt").alias("_bt"), few("_br").alias("_br"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    placed = rows.join(cuts, same).select(*keys, "_t", "_r", "_w", "_n", _block("_t", F.col("_bt")).alias("_tb"), _block("_r", F.col("_br")).alias("_rb"))
+    placed = scratch.keep(placed)
+
+    def out(pdf: pd.DataFrame, pairs: float, good: float) -> pd.DataFrame:
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "_pairs": [pairs], "_good": [good]})
+
+    def grid(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells = pdf.pivot_table(index="_tb", columns="_rb", values=["_w", "_n"], aggfunc="sum", fill_value=0)
+        w, n = cells["_w"].to_numpy(dtype="float64"), cells["_n"].to_numpy(dtype="float64")
+        later = n[::-1].cumsum(axis=0)[::-1] - n
+        lower = later.cumsum(axis=1) - later
+        return out(pdf, float((w.sum(axis=1) * later.sum(axis=1)).sum()), float((w * lower).sum()))
+
+    def one_risk_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        return out(pdf, 0.0, _lower_later(*(pdf[c].tolist() for c in ("_tb", "_r", "_w", "_n")))[1])
+
+    def one_time_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        return out(pdf, *_lower_later(*(pdf[c].tolist() for c in ("_t", "_r", "_w", "_n"))))
+
+    schema = (head + ", " if head else "") + "_pairs double, _good double"
+    sums = [F.sum("_w").alias("_w"), F.sum("_n").alias("_n")]
+    parts = placed.groupBy(*keys, "_tb", "_rb").agg(*sums).groupBy(*keys).applyInPandas(grid, schema)
+    parts = parts.unionAll(placed.groupBy(*keys, "_rb", "_tb", "_r").agg(*sums).groupBy(*keys, "_rb").applyInPandas(one_risk_block, schema))
+    # A time block of one time has no pairs within.
+    parts = parts.unionAll(placed.where("_tb % 2 = 0").groupBy(*keys, "_tb").applyInPandas(one_time_block, schema))
+    total = parts.groupBy(*keys).agg(F.sum("_pairs").cast("bigint").alias("n_pairs"), F.sum("_good").alias("_good"))
+    return total.select(*keys, "n_pairs", (F.col("_good") / F.nullif(F.col("n_pairs"), F.lit(0))).alias("c_index"))
 
 
 def normalised(df: DataFrame, keys: list[str], value: str, name: str = "fraction") -> DataFrame:

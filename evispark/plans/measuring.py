@@ -9,7 +9,7 @@ from evispark.operators import curves as K
 from evispark.operators import statistics as A
 from evispark.operators import text_search as R
 from evispark.plans.registry import query
-from evispark.session import read
+from evispark.session import Scratch, read
 
 
 def _pairs(spark, sf):
@@ -52,8 +52,8 @@ SELECT alloy_family, count(c) AS n_pairs, round(avg(c)::DOUBLE, 6) AS c_index FR
 def a6_concordance(spark, sf):
     event = F.coalesce(F.lower(F.trim("runout")).isin("no", "false", "0", "n", "failed", "failure"), F.lit(False))
     rows = read(spark, sf, "extraction_records").where("alloy_family is not null").select("alloy_family", C.finite("fatigue_life_cycles").alias("t"), event.alias("e"), (-C.finite("stress_amplitude_mpa")).alias("h"))
-    out = A.concordance(rows.where("t is not null and h is not null"), ["alloy_family"], "t", "e", "h")
-    return out.withColumn("c_index", F.round(F.nanvl("c_index", F.lit(None).cast("double")), 6))
+    out = A.concordance(rows, ["alloy_family"], "t", "e", "h", Scratch(spark))
+    return out.withColumn("c_index", F.round("c_index", 6))
 
 
 @query("""SELECT test_type, extraction_method, count(*) AS n_rows, count(DISTINCT source_id) AS n_sources, count(*) FILTER (frequency_hz > 1000) AS n_fast, min(stress_amplitude_mpa) AS low, max(stress_amplitude_mpa) AS high FROM extraction_records GROUP BY test_type, extraction_method""")

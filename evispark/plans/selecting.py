@@ -8,7 +8,7 @@ from evispark.functions import cleaning as C
 from evispark.operators import joins as J
 from evispark.operators import selection as S
 from evispark.plans.registry import query
-from evispark.session import read
+from evispark.session import Scratch, read
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, coalesce(nullif(l_returnflag, 'N'), o_orderstatus) AS status, o_orderpriority
@@ -138,13 +138,13 @@ def w2_keep_last(spark, sf):
 SELECT row_id, s FROM r WHERE n <= 10 OR list_contains(list_transform(range(0, 10), lambda j: round_even(j * (n - 1) / 9.0::DOUBLE, 0)::INT), i::INT)""")
 def w3_even_sample(spark, sf):
     rows = read(spark, sf, "extraction_records").where("stress_amplitude_mpa is not null").select("row_id", F.lower(F.trim("source_id")).alias("s"), "stress_amplitude_mpa")
-    return S.even_sample(rows, ["s"], 10, F.col("stress_amplitude_mpa"), F.col("row_id")).select("row_id", "s")
+    return S.even_sample(rows, ["s"], 10, ["stress_amplitude_mpa", "row_id"], Scratch(spark)).select("row_id", "s")
 
 
 @query("""SELECT row_id, 'record_' || lpad(CAST(row_number() OVER (PARTITION BY lower(trim(source_id)) ORDER BY row_id) AS VARCHAR), 6, '0') AS sequence_id FROM extraction_records""")
 def w4_sequential_ids(spark, sf):
     rows = read(spark, sf, "extraction_records").select("row_id", F.lower(F.trim("source_id")).alias("s"))
-    return S.numbered(rows, "record", ["s"], F.col("row_id")).select("row_id", "sequence_id")
+    return S.numbered(rows, "record", ["s"], ["row_id"], Scratch(spark)).select("row_id", "sequence_id")
 
 
 @query("""WITH n AS (SELECT lower(trim(source_id)) AS s, count(*) AS n FROM extraction_records GROUP BY 1) SELECT row_id, round((SELECT sum(n) FROM n) / (n.n * (SELECT count(*) FROM n)), 6) AS weight FROM extraction_records JOIN n ON n.s IS NOT DISTINCT FROM lower(trim(source_id))""")
@@ -162,9 +162,10 @@ def w7_top_per_source(spark, sf):
 @query("""WITH r AS (SELECT article_number, source_id, listed_at, journal, file_size_bytes AS size, row_number() OVER (PARTITION BY journal ORDER BY file_size_bytes DESC NULLS LAST, source_id, listed_at, article_number) AS k FROM literature_manifest WHERE journal IS NOT NULL)
 SELECT article_number, source_id, listed_at, journal, k <= 2 AS seeded FROM r ORDER BY k <= 2 DESC, size DESC NULLS LAST, source_id, listed_at, article_number LIMIT 40""")
 def w8_balanced_select(spark, sf):
-    rows = read(spark, sf, "literature_manifest").where("journal is not null")
+    named = F.sha2(F.to_json(F.struct("article_number", "source_id", "listed_at", "file_size_bytes")), 256)
+    rows = read(spark, sf, "literature_manifest").where("journal is not null").withColumn("_id", named)
     order = (F.desc_nulls_last("file_size_bytes"), F.col("source_id"), F.col("listed_at"), F.col("article_number"))
-    return S.balanced(rows, "journal", 2, 40, *order).select("article_number", "source_id", "listed_at", "journal", "seeded")
+    return S.balanced(rows, "journal", 2, 40, ["_id"], *order).select("article_number", "source_id", "listed_at", "journal", "seeded")
 
 
 @query("""SELECT doc_id, first_value(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS canonical_id, count(*) OVER (PARTITION BY sha256(text)) AS n_copies FROM documents WHERE text IS NOT NULL""")

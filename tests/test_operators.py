@@ -34,16 +34,19 @@ def test_numbers(spark):
     assert values(spark, [("0",), ("0.0",), ("0 deg",), ("0°",), (None,)], "x string", C.orientation("x")) == ["0", "0", "0", "0", "missing"]
 
 
-def test_concordance_is_that_of_all_pairs(spark):
+@pytest.mark.parametrize("block", [50_000, 5])
+def test_concordance_is_that_of_all_pairs(spark, scratch, block):
     rng = random.Random(3)
-    rows = [("g", float(rng.randint(1, 9)), rng.random() < 0.6, float(rng.randint(1, 5))) for _ in range(60)]
+    rows = [("g", rng.choice([5.0, 5.0, float(rng.randint(1, 40))]), rng.random() < 0.6, rng.choice([2.0, float(rng.randint(1, 25))])) for _ in range(120)]
     pairs = good = 0.0
     for (_, t, e, r), (_, u, _, s) in itertools.product(rows, rows):
         if e and u > t:
             pairs += 1
             good += 1.0 if s < r else 0.5 if s == r else 0.0
-    got = statistics.concordance(spark.createDataFrame(rows, "g string, t double, e boolean, r double"), ["g"], "t", "e", "r").first()
-    assert got.n_pairs == pairs and got.c_index == pytest.approx(good / pairs)
+    df = spark.createDataFrame([*rows, ("g", None, True, 1.0), ("one", 1.0, True, 1.0)], "g string, t double, e boolean, r double")
+    got = {r.g: r for r in statistics.concordance(df, ["g"], "t", "e", "r", scratch, block=block, most=16).collect()}
+    assert got["g"].n_pairs == pairs and got["g"].c_index == pytest.approx(good / pairs)
+    assert got["one"].n_pairs == 0 and got["one"].c_index is None
 
 
 def test_holdout_and_folds_are_disjoint(spark):
@@ -54,10 +57,23 @@ def test_holdout_and_folds_are_disjoint(spark):
     assert sorted(sizes) == [20, 20, 20, 20, 21]
 
 
-def test_even_sample_keeps_both_ends(spark):
-    rows = spark.createDataFrame([("a", i) for i in range(57)] + [("b", 1)], "g string, x int")
-    got = selection.even_sample(rows, ["g"], 10, F.col("x")).where("g = 'a'").collect()
-    assert len(got) == 10 and {0, 56} <= {r.x for r in got}
+def test_even_sample_keeps_both_ends(spark, scratch):
+    rows = spark.createDataFrame([("a", i) for i in range(57)] + [("b", 1)] + [(None, i) for i in range(30)], "g string, x int")
+    got = selection.even_sample(rows, ["g"], 10, ["x"], scratch).collect()
+    for g, last in (("a", 56), (None, 29)):
+        mine = {r.x for r in got if r.g == g}
+        assert mine == {round(k * last / 9) for k in range(10)}
+    assert selection.even_sample(rows.limit(0), ["g"], 10, ["x"], scratch).count() == 0
+
+
+def test_ranks_over_ranges_are_those_of_one_window(spark, scratch):
+    rng = random.Random(7)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.choice([None, 1.0, 2.0, 3.5]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, x double, id int")
+    got = {r.id: (r._i, r._n) for r in selection.ranked(df, ["g"], ["x", "id"], scratch).collect()}
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in mine] == [(i, len(mine)) for i in range(len(mine))]
 
 
 def test_change_log_and_levels(spark):
