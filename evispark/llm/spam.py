@@ -5,8 +5,11 @@ information (PMI) of neighbours and, for every word and pair, how much more ofte
 
 Suspect at first are pages made of excessively repeated collocations, link lists, and word salad of low mean PMI; each
 round counts again with the pages found so far. A page is found when most of its neighbouring pairs are collocations of
-suspect pages. Numbers stand for one another and pairs of two numbers count for nothing, so tables and logs, whose
-phrases repeat around numbers, are no repetition.
+suspect pages, when it repeats its own words in excess, or when its mean PMI is low and part of it is such collocations. Numbers stand for one another and
+pairs of two numbers count for nothing, so tables and logs, whose phrases repeat around numbers, are no repetition.
+
+All counts are used, however rare the word or pair: the frequent ones are broadcast, the rarer ones joined to their pages.
+What only one page holds needs no join, as its counts are the page's own.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ _NUMBER = re.compile(r"\d+[a-z]{0,2}")
 _MASK = (1 << 62) - 1
 MOST_CACHED = 1_000_000
 
-#: Words and pairs in fewer documents, as a share of all, are not looked up. With d of them in a document on average at
-#: most d / SHARE can be above it, however many documents there are: what is broadcast is bounded.
+#: Words and pairs in fewer documents, as a share of all, are joined instead of broadcast. With d of them in a document on
+#: average at most d / SHARE can be above it, however many documents there are: what is broadcast is bounded.
 SHARE = 1e-4
 MOST_FEATURES = 20_000_000
 #: A pair repeated at least so often, making up so much of the page, is excessive.
@@ -135,11 +138,14 @@ class Batch:
         much = (times >= REPEATS) & (times >= REPEAT_SHARE * self.pairs_in[self.pair_doc])
         return self.share(much & self.verbal[self.pair])
 
+    def excessive(self) -> np.ndarray:
+        """Whether a document is mostly words repeated in excess."""
+        return (self.stuffed() > STUFFED) & (self.numbers / np.maximum(1, self.sizes) < NUMBERS) & (self.sizes >= 30)
+
     def suspects(self, links: np.ndarray) -> np.ndarray:
         n = np.maximum(1, self.sizes)
-        few = self.numbers / n < NUMBERS
         listed = (links / n > LINKS) & (self.numbers / n < LINK_NUMBERS) & (links >= 5)
-        return ((self.stuffed() > STUFFED) & few & (self.sizes >= 30)) | (listed & (self.sizes >= 20))
+        return self.excessive() | (listed & (self.sizes >= 20))
 
     def _counted(self, feature: np.ndarray, place: np.ndarray, doc: np.ndarray, suspect: np.ndarray) -> pd.DataFrame:
         each = pd.unique(place * self.docs + doc)
@@ -157,19 +163,23 @@ class Batch:
 
 
 class Lexicon:
-    """Counts of the frequent words and pairs, sorted for binary search."""
+    """Counts of words and pairs, sorted for binary search."""
 
     def __init__(self, counts: pd.DataFrame, words: int, docs: int, suspects: int, pmi: tuple[float, float] | None = None):
         #: Mean and deviation of the pages' mean PMI, once known.
         self.pmi = pmi
         counts = counts.sort_values("feature")
         self.feature = counts["feature"].to_numpy(dtype=np.int64)
-        self.n, self.words = counts["n"].to_numpy(dtype="float64"), max(1, words)
+        self.n, self.words, self.docs, self.suspects = counts["n"].to_numpy(dtype="float64"), max(1, words), docs, suspects
         df, bad = counts["df"].to_numpy(dtype="float64"), counts["df_suspect"].to_numpy(dtype="float64")
         good, other, total = df - bad, docs - suspects, max(1, docs)
         # One document's worth of pseudo-counts, shared as the documents are: nothing known means no odds.
         self.odds = np.log((bad + suspects / total) / (suspects + 1)) - np.log((good + other / total) / (other + 1)) if suspects else np.zeros(len(df))
 
+    def rest(self, counts: pd.DataFrame) -> Lexicon:
+        """The same for other words and pairs."""
+        return Lexicon(counts, self.words, self.docs, self.suspects)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of the keys, -1 where not listed."""
         if not len(self.feature):
@@ -180,17 +190,30 @@ class Lexicon:
     def _value(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
         return np.where(at >= 0, values[np.maximum(at, 0)] if len(values) else 0.0, 0.0)
 
-    def score(self, b: Batch) -> tuple[np.ndarray, np.ndarray]:
-        """(share of spam pairs, mean PMI of neighbouring words) of each document."""
-        p, w = self.find(b.pairs)[b.pair], self.find(b.words)
-        x, y = w[b.left], w[b.right]
-        lx, ly = self._value(x, self.odds), self._value(y, self.odds)
-        odds = np.where(p >= 0, self._value(p, self.odds), np.where(np.minimum(lx, ly) > 0, np.maximum(lx, ly), np.minimum(lx, ly)))
-        both = (p >= 0) & (x >= 0) & (y >= 0) & b.verbal[b.pair]
-        pmi = np.zeros(len(p))
-        pmi[both] = np.log(self.n[p[both]] * self.words / (self.n[x[both]] * self.n[y[both]]))
+    def known(self, keys: np.ndarray, rare: Lexicon | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether listed here or among the rare, count, odds) of the keys."""
+        at = self.find(keys)
+        listed, n, odds = at >= 0, self._value(at, self.n), self._value(at, self.odds)
+        if rare is None:
+            return listed, n, odds
+        more, m, o = rare.known(keys, None)
+        return listed | more, np.where(listed, n, m), np.where(listed, odds, o)
+
+    def score(self, b: Batch, suspect: np.ndarray | None = None, rare: Lexicon | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(share of spam pairs, mean PMI of neighbouring words) of each document.
+
+        A pair that isn't listed is the document's own: spam in one that is suspect at first, else as its words are."""
+        (lp, np_, op), (lw, nw, ow) = (tuple(v[at] for v in self.known(keys, rare)) for keys, at in ((b.pairs, b.pair), (b.words, slice(None))))
+        lx, ly = ow[b.left], ow[b.right]
+        odds = np.where(lp, op, np.where(np.minimum(lx, ly) > 0, np.maximum(lx, ly), np.minimum(lx, ly)))
+        spam = odds > ODDS
+        if suspect is not None:
+            spam |= ~lp & suspect[b.pair_doc]
+        both = lp & lw[b.left] & lw[b.right] & b.verbal[b.pair]
+        pmi = np.zeros(len(lp))
+        pmi[both] = np.log(np_[both] * self.words / (nw[b.left][both] * nw[b.right][both]))
         seen = np.bincount(b.pair_doc, weights=both, minlength=b.docs)
-        return b.share(odds > ODDS), np.bincount(b.pair_doc, weights=pmi, minlength=b.docs) / np.maximum(1, seen)
+        return b.share(spam), np.bincount(b.pair_doc, weights=pmi, minlength=b.docs) / np.maximum(1, seen)
 
 
 _COUNTS = "feature bigint, n bigint, df bigint, df_suspect bigint"
@@ -204,12 +227,19 @@ def _read(pdf: pd.DataFrame) -> Batch:
     return Batch([np.asarray(w, dtype=np.int64) for w in pdf["words"]])
 
 
-def _found(b: Batch, share: np.ndarray, pmi: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    found = (share > MOST_OF_TEXT) & (b.sizes >= LEAST_WORDS)
+def _scored(pdf: pd.DataFrame, lexicon: Lexicon) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray]:
+    """(batch, share of spam pairs, mean PMI, found) of documents with the counts of their rare words and pairs."""
+    b = _read(pdf)
+    rare = None
+    if "rare" in pdf and (held := [x for x in pdf["rare"] if x is not None and len(x)]):
+        rows = pd.DataFrame([tuple(y.values()) if isinstance(y, dict) else tuple(y) for x in held for y in x], columns=["feature", "n", "df", "df_suspect"])
+        rare = lexicon.rest(rows.drop_duplicates("feature"))
+    share, pmi = lexicon.score(b, b.suspects(pdf["links"].to_numpy(dtype="float64")), rare)
+    found = ((share > MOST_OF_TEXT) & (b.sizes >= LEAST_WORDS)) | b.excessive()
     if lexicon.pmi:
         mean, deviation = lexicon.pmi
         found |= (pmi < mean - DEVIATIONS * deviation) & (share > SALAD_SHARE) & (b.sizes >= 30)
-    return found
+    return b, share, pmi, found
 
 
 #: Features of totals: documents and words; sums of the mean PMI and its square, in millionths.
@@ -225,12 +255,12 @@ def _counted(words: DataFrame, lexicon) -> DataFrame:
         for pdf in batches:
             if not len(pdf):
                 continue
-            b = _read(pdf)
             if known is None:
+                b = _read(pdf)
                 suspect = b.suspects(pdf["links"].to_numpy(dtype="float64"))
             else:
-                share, pmi = known.score(b)
-                suspect, m = _found(b, share, pmi, known), pmi[b.sizes >= 30]
+                b, _, pmi, suspect = _scored(pdf, known)
+                m = pmi[b.sizes >= 30]
                 parts.append(pd.DataFrame({"feature": [_PMI], "n": [round(m.sum() * 1e6)], "df": [len(m)], "df_suspect": [round((m * m).sum() * 1e6)]}))
             parts.append(pd.DataFrame({"feature": [_TOTAL], "n": [len(b.word)], "df": [b.docs], "df_suspect": [int(suspect.sum())]}))
             parts.append(b.counts(suspect))
@@ -244,7 +274,8 @@ def _counted(words: DataFrame, lexicon) -> DataFrame:
     return words.mapInPandas(run, _COUNTS).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("df").alias("df"), F.sum("df_suspect").alias("df_suspect"))
 
 
-def _lexicon(words: DataFrame, scratch: Scratch, before) -> Lexicon:
+def _lexicon(words: DataFrame, scratch: Scratch, before) -> tuple[Lexicon, DataFrame | None]:
+    """The frequent words and pairs, and the counts of the rarer ones that more than one document holds, if there are any."""
     counts = scratch.keep(_counted(words, before))
     totals = {r.feature: r for r in counts.where("feature < 0").collect()}
     n, docs, suspects = (totals[_TOTAL].n, totals[_TOTAL].df, totals[_TOTAL].df_suspect) if totals else (0, 0, 0)
@@ -252,33 +283,54 @@ def _lexicon(words: DataFrame, scratch: Scratch, before) -> Lexicon:
     if _PMI in totals and totals[_PMI].df:
         mean = totals[_PMI].n / 1e6 / totals[_PMI].df
         pmi = mean, max(0.0, totals[_PMI].df_suspect / 1e6 / totals[_PMI].df - mean * mean) ** 0.5
-    listed = counts.where((F.col("feature") >= 0) & (F.col("df") >= max(2.0, SHARE * docs))).limit(MOST_FEATURES + 1).toPandas()
+    least = max(2.0, SHARE * docs)
+    listed = counts.where((F.col("feature") >= 0) & (F.col("df") >= least)).limit(MOST_FEATURES + 1).toPandas()
     if len(listed) > MOST_FEATURES:
         raise ValueError("documents of this length need a larger SHARE")
-    return Lexicon(listed, n, docs, suspects, pmi)
+    return Lexicon(listed, n, docs, suspects, pmi), counts.where((F.col("feature") >= 0) & (F.col("df") >= 2) & (F.col("df") < least)) if least > 2 else None
+
+
+def _with_rare(words: DataFrame, lexicon, rare: DataFrame | None) -> DataFrame:
+    """The words with the counts of those words and pairs of a row that aren't broadcast."""
+    if rare is None:
+        return words
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            b, rows = _read(pdf), pdf["row"].to_numpy()
+            for keys, place, doc in ((b.words, b.word, b.doc), (b.pairs, b.pair, b.pair_doc)):
+                new = (lexicon.value.find(keys) < 0)[place]
+                each = pd.unique(place[new] * max(1, b.docs) + doc[new])
+                of, d = np.divmod(each, max(1, b.docs))
+                yield pd.DataFrame({"row": rows[d], "feature": keys[of]})
+
+    held = words.select("row", "words").mapInPandas(run, "row bigint, feature bigint").join(rare, "feature")
+    return words.join(held.groupBy("row").agg(F.collect_list(F.struct("feature", "n", "df", "df_suspect")).alias("rare")), "row", "left")
 
 
 def page_scores(documents: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_words, spam_share, mean_pmi, found) of every document.
 
-    found: at least LEAST_WORDS words and over half of the pairs are collocations of suspect pages, or a word salad, or
-    three addresses or more hold over half of the letters. Null, empty and blank
-    texts have no words and are not found; repeated rows count as documents each; without any suspect nothing is found."""
+    found: at least LEAST_WORDS words and over half of the pairs are collocations of suspect pages or, in a first suspect,
+    its own; or words repeated in excess; or a word salad; or three addresses or more hold
+    over half of the letters. Null, empty and blank texts have no words and are not found; repeated rows count as documents
+    each."""
     spark = documents.sparkSession
     words = scratch.keep(
-        spread(documents.select("doc_id", "text")).select("doc_id", words_of("text").alias("w")).select("doc_id", "w.*")
+        spread(documents.select("doc_id", "text")).select("doc_id", words_of("text").alias("w")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "w.*")
     )
-    lexicon = None
+    lexicon, scored = None, words
     for _ in range(rounds):
-        lexicon = spark.sparkContext.broadcast(_lexicon(words, scratch, lexicon))
+        known, rare = _lexicon(scored, scratch, lexicon)
+        lexicon = spark.sparkContext.broadcast(known)
+        scored = _with_rare(words, lexicon, rare)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            b, known = _read(pdf), lexicon.value
-            share, pmi = known.score(b)
+            b, share, pmi, found = _scored(pdf, lexicon.value)
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "n_words": b.sizes, "spam_share": share, "mean_pmi": pmi,
-                "found": _found(b, share, pmi, known) | (pdf["bare"].to_numpy() > MOST_OF_TEXT),
+                "found": found | (pdf["bare"].to_numpy() > MOST_OF_TEXT),
             })
 
-    return words.mapInPandas(run, "doc_id bigint, n_words bigint, spam_share double, mean_pmi double, found boolean")
+    return scored.mapInPandas(run, "doc_id bigint, n_words bigint, spam_share double, mean_pmi double, found boolean")

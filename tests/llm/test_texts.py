@@ -140,3 +140,16 @@ def test_counts_and_pmi_are_those_by_hand():
     n, total = counts["n"], len(b.word)
     want = np.mean([np.log(n[ab] * total / (n[word("a")] * n[word("b")]))] * 2 + [np.log(n[ba] * total / (n[word("a")] * n[word("b")]))])
     assert pmi[0] == pytest.approx(want)
+
+
+def test_pages_stuffed_with_their_own_words(spark, scratch, monkeypatch):
+    """However rare the words are, and wherever the broadcast counts end."""
+    good, _ = corpus()
+    own = [" ".join(["zintor blade", "qualit zintor"] * 20), "\n".join(f"[vorn{i} mask{i}](https://shop.test/{i})" for i in range(15))]
+    shared = [" ".join(f"kelmo {w} trask" for w in "ab cd ef gh ij kl mn op qr st uv wx".split() * 3)] * 3
+    quote = ["kelmo ab trask kelmo cd trask kelmo ef trask kelmo gh trask"]  # of a suspect's words, too short to be suspect itself
+    df = spark.createDataFrame(list(enumerate(good + own + shared + quote)), "doc_id long, text string")
+    want = set(range(len(good), len(good) + 6))
+    for share in (1e-4, 0.05):
+        monkeypatch.setattr("evispark.llm.spam.SHARE", share)
+        assert {r.doc_id for r in page_scores(df, scratch).where("found").collect()} == want
