@@ -5,7 +5,7 @@ information (PMI) of neighbours and, for every word and pair, how much more ofte
 
 Suspect at first are pages made of excessively repeated collocations, link lists, and word salad of low mean PMI; each
 round counts again with the pages found so far. A page is found when most of its neighbouring pairs are collocations of
-suspect pages, when it repeats its own words in excess, or when its mean PMI is low and part of it is such collocations. Numbers stand for one another and
+suspect pages, when it repeats its own words in excess, or when its mean PMI is low. Numbers stand for one another and
 pairs of two numbers count for nothing, so tables and logs, whose phrases repeat around numbers, are no repetition.
 
 All counts are used, however rare the word or pair: the frequent ones are broadcast, the rarer ones joined to their pages.
@@ -48,7 +48,8 @@ REPEATS, REPEAT_SHARE = 3, 0.01
 #: First suspects: share of pairs in excessive collocations, numbers at most; links or hashtags per word, numbers at most.
 STUFFED, NUMBERS, LINKS, LINK_NUMBERS = 0.5, 0.03, 0.12, 0.15
 #: Word salad: mean PMI so many deviations below the corpus mean, with this share of suspect pairs.
-DEVIATIONS, SALAD_SHARE = 2.0, 0.25
+#: Deviations below the mean from which PMI is low; least share of a page's pairs of words that must be of known words.
+DEVIATIONS, JUDGED = 2.0, 0.5
 #: A pair counts as spam from this log-odds, a page from this share of its pairs.
 ODDS, MOST_OF_TEXT = 0.7, 0.5
 LEAST_WORDS, LEAST_LINKS = 8, 3
@@ -202,18 +203,23 @@ class Lexicon:
     def score(self, b: Batch, suspect: np.ndarray | None = None, rare: Lexicon | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(share of spam pairs, mean PMI of neighbouring words) of each document.
 
-        A pair that isn't listed is the document's own: spam in one that is suspect at first, else as its words are."""
+        A pair that isn't listed is the document's own: spam in one that is suspect at first, else as its words are. In the
+        mean it has one smoothed occurrence, if both words are known; NaN where fewer than JUDGED of the pairs are."""
         (lp, np_, op), (lw, nw, ow) = (tuple(v[at] for v in self.known(keys, rare)) for keys, at in ((b.pairs, b.pair), (b.words, slice(None))))
         lx, ly = ow[b.left], ow[b.right]
         odds = np.where(lp, op, np.where(np.minimum(lx, ly) > 0, np.maximum(lx, ly), np.minimum(lx, ly)))
         spam = odds > ODDS
         if suspect is not None:
             spam |= ~lp & suspect[b.pair_doc]
-        both = lp & lw[b.left] & lw[b.right] & b.verbal[b.pair]
-        pmi = np.zeros(len(lp))
-        pmi[both] = np.log(np_[both] * self.words / (nw[b.left][both] * nw[b.right][both]))
-        seen = np.bincount(b.pair_doc, weights=both, minlength=b.docs)
-        return b.share(spam), np.bincount(b.pair_doc, weights=pmi, minlength=b.docs) / np.maximum(1, seen)
+        verbal = b.verbal[b.pair]
+        both = lw[b.left] & lw[b.right] & verbal
+        chance = nw[b.left] * nw[b.right] / self.words
+        pmi, old, new = np.zeros(len(lp)), both & lp, both & ~lp
+        pmi[old] = np.log(np_[old] / chance[old])
+        pmi[new] = -np.log1p(chance[new])
+        seen, of = (np.bincount(b.pair_doc, weights=x, minlength=b.docs) for x in (both, verbal))
+        mean = np.bincount(b.pair_doc, weights=pmi, minlength=b.docs) / np.maximum(1, seen)
+        return b.share(spam), np.where((seen > 0) & (seen >= JUDGED * of), mean, np.nan)
 
 
 _COUNTS = "feature bigint, n bigint, df bigint, df_suspect bigint"
@@ -238,7 +244,7 @@ def _scored(pdf: pd.DataFrame, lexicon: Lexicon) -> tuple[Batch, np.ndarray, np.
     found = ((share > MOST_OF_TEXT) & (b.sizes >= LEAST_WORDS)) | b.excessive()
     if lexicon.pmi:
         mean, deviation = lexicon.pmi
-        found |= (pmi < mean - DEVIATIONS * deviation) & (share > SALAD_SHARE) & (b.sizes >= 30)
+        found |= (pmi < mean - DEVIATIONS * deviation) & (b.sizes >= 30)
     return b, share, pmi, found
 
 
@@ -260,7 +266,7 @@ def _counted(words: DataFrame, lexicon) -> DataFrame:
                 suspect = b.suspects(pdf["links"].to_numpy(dtype="float64"))
             else:
                 b, _, pmi, suspect = _scored(pdf, known)
-                m = pmi[b.sizes >= 30]
+                m = pmi[(b.sizes >= 30) & ~np.isnan(pmi)]
                 parts.append(pd.DataFrame({"feature": [_PMI], "n": [round(m.sum() * 1e6)], "df": [len(m)], "df_suspect": [round((m * m).sum() * 1e6)]}))
             parts.append(pd.DataFrame({"feature": [_TOTAL], "n": [len(b.word)], "df": [b.docs], "df_suspect": [int(suspect.sum())]}))
             parts.append(b.counts(suspect))
@@ -312,9 +318,9 @@ def page_scores(documents: DataFrame, scratch: Scratch, rounds: int = ROUNDS) ->
     """(doc_id, n_words, spam_share, mean_pmi, found) of every document.
 
     found: at least LEAST_WORDS words and over half of the pairs are collocations of suspect pages or, in a first suspect,
-    its own; or words repeated in excess; or a word salad; or three addresses or more hold
+    its own; or words repeated in excess; or a mean PMI DEVIATIONS below that of all pages; or three addresses or more hold
     over half of the letters. Null, empty and blank texts have no words and are not found; repeated rows count as documents
-    each."""
+    each. mean_pmi is NaN where too few pairs are of known words."""
     spark = documents.sparkSession
     words = scratch.keep(
         spread(documents.select("doc_id", "text")).select("doc_id", words_of("text").alias("w")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "w.*")

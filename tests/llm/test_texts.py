@@ -153,3 +153,13 @@ def test_pages_stuffed_with_their_own_words(spark, scratch, monkeypatch):
     for share in (1e-4, 0.05):
         monkeypatch.setattr("evispark.llm.spam.SHARE", share)
         assert {r.doc_id for r in page_scores(df, scratch).where("found").collect()} == want
+
+
+def test_word_salad_without_suspects(spark, scratch):
+    good, _ = corpus()
+    rng = random.Random(3)
+    words = [w for w in NORMAL if w != "{}"] + ["laser", "layer", "sample"]
+    salad = [" ".join(rng.choices(words, k=60)) for _ in range(3)]
+    foreign = " ".join(f"wort{i}" for i in range(60))  # nothing is known of its words
+    df = spark.createDataFrame(list(enumerate([*good, *salad, foreign])), "doc_id long, text string")
+    assert {r.doc_id for r in page_scores(df, scratch).where("found").collect()} == set(range(len(good), len(good) + 3))
