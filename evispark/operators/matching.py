@@ -1,9 +1,10 @@
-"""Fuzzy matching of titles, in blocks of shared rare words instead of all pairs."""
+"""Fuzzy matching of titles: a near one by shared rare words, then all whose letters could come nearer."""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,23 +16,85 @@ def title_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
+#: Titles of the left and the right side in one block of pairs.
+LEFT_BLOCK, RIGHT_BLOCK = 250, 5_000
+
+
+def _similar(x: str | None, y: str | None) -> float:
+    if not x or not y:
+        return 0.0
+    if x == y:
+        return 1.0
+    whole = SequenceMatcher(None, x, y, autojunk=False)
+    if whole.quick_ratio() < 0.6:  # an upper bound, of the sorted words' ratio too
+        return 0.0
+    best = max(whole.ratio(), SequenceMatcher(None, _sorted(x), _sorted(y), autojunk=False).ratio())
+    return max(best, 0.99) if min(len(x), len(y)) >= 20 and (x in y or y in x) else best
+
+
+def _sorted(text: str) -> str:
+    return " ".join(sorted(text.split()))
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 M / T of the longest matching blocks; words sorted first if that is nearer; 0.99 where one holds the other."""
-
-    def one(x: str | None, y: str | None) -> float:
-        if not x or not y:
-            return 0.0
-        if x == y:
-            return 1.0
-        whole = SequenceMatcher(None, x, y, autojunk=False)
-        if whole.quick_ratio() < 0.6:  # an upper bound, of the sorted words' ratio too
-            return 0.0
-        u, v = " ".join(sorted(x.split())), " ".join(sorted(y.split()))
-        best = max(whole.ratio(), SequenceMatcher(None, u, v, autojunk=False).ratio())
-        return max(best, 0.99) if min(len(x), len(y)) >= 20 and (x in y or y in x) else best
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([_similar(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+class Titles:
+    """Titles as letter counts and codes, to bound their similarity to another from above."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.code = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
+        self.size = np.array([len(t) for t in texts])
+        self.plain, self.ordered = self._codes(texts), self._codes([_sorted(t) for t in texts])
+        self.counts = np.stack([(self.plain == i).sum(axis=0) for i in range(len(self.code))], axis=1).astype(np.int16)
+
+    def _codes(self, texts: list[str]) -> np.ndarray:
+        out = np.full((self.size.max(), len(texts)), len(self.code), dtype=np.int32)
+        for i, t in enumerate(texts):
+            out[: len(t), i] = [self.code[c] for c in t]
+        return out
+
+    def _common(self, x: str, codes: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence with each column of codes, by bits of x."""
+        words = -(-len(x) // 64)
+        held = np.zeros((words, len(self.code) + 1), dtype=np.uint64)
+        for i, c in enumerate(x):
+            if c in self.code:
+                held[i // 64, self.code[c]] |= np.uint64(1 << i % 64)
+        v = np.full((words, codes.shape[1]), ~np.uint64(0))
+        for row in codes:
+            carry = np.zeros(codes.shape[1], dtype=np.uint64)
+            for w in range(words):
+                u = v[w] & held[w][row]
+                one = v[w] + u
+                two = one + carry
+                carry = ((one < u) | (two < one)).astype(np.uint64)
+                v[w] = two | (v[w] ^ u)
+        return np.bitwise_count(~v).sum(axis=0)
+
+    def nearest(self, x: str, least: float) -> tuple[int, float] | None:
+        """(place, similarity) of the first most similar title, from ``least`` on.
+
+        Matching blocks are a common subsequence, so they hold at most the longest one, and that at most the common letters;
+        what is below by either bound isn't scored."""
+        mine = np.array([x.count(c) for c in self.code], dtype=np.int16)
+        total, slack = self.size + len(x), 1e-6
+        letters = 2 * np.minimum(self.counts, mine).sum(axis=1, dtype=np.int64) / total
+        inside = [i for i in np.flatnonzero(letters >= 0.6) if (x in self.texts[i] or self.texts[i] in x) and min(len(x), self.size[i]) >= 20]
+        near = np.flatnonzero(letters >= least - slack)
+        bound = 2 * np.maximum(self._common(x, self.plain[: self.size[near].max(), near]), self._common(_sorted(x), self.ordered[: self.size[near].max(), near])) / total[near] if len(near) else np.zeros(0)
+        best = None
+        for b, i in sorted([(1.0, i) for i in inside] + list(zip(bound, near)), key=lambda v: (-v[0], v[1])):
+            if b < (best[0] if best else least) - slack:
+                break
+            score = round(_similar(x, self.texts[i]), 6)
+            if score >= least - slack and (best is None or (score, -i) > (best[0], -best[1])):
+                best = score, i
+        return (int(best[1]), best[0]) if best else None
 
 
 @F.pandas_udf(T.DoubleType())
@@ -50,10 +113,11 @@ def word_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def best_titles(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float = 0.72, sure: float = 0.86, shared: float = 0.9) -> DataFrame:
-    """(left_key, right_key, score, needs_review): for each left row its most similar right row, from ``least`` on: the nearest by common words in order, scored by letters.
+    """(left_key, right_key, score, needs_review): for each left key its most similar right key by letters, from ``least`` on.
 
-    Both sides are (key, title). Candidates share at least the part ``shared`` of each title's distinct words: of n words,
-    one of the n - ceil(shared n) + 1 rarest must be among the rarest of the other, so common words make no pairs."""
+    Both sides are (key, title), any number of titles a key. A first match shares the part ``shared`` of the words: of n
+    words, one of the n - ceil(shared n) + 1 rarest must be among the rarest of the other. Then, in blocks of all pairs,
+    every title is scored whose letters allow ``least`` and no less than the first match, so none is missed."""
     a = left.select(F.col(left_key).alias("_a"), title_text(F.col("title")).alias("_x")).where("_x <> ''")
     b = right.select(F.col(right_key).alias("_b"), title_text(F.col("title")).alias("_y")).where("_y <> ''")
     # Equal titles need no search; they are the best there can be.
@@ -69,12 +133,40 @@ def best_titles(left: DataFrame, right: DataFrame, left_key: str, right_key: str
         ranked = ranked.withColumn("_k", F.row_number().over(w.orderBy("_n", "_w"))).withColumn("_of", F.count("*").over(w))
         return ranked.where(F.col("_k") <= F.col("_of") - F.ceil(F.col("_of") * shared) + 1).select(key, "_w")
 
-    pairs = prefix(wa, "_a").join(prefix(wb, "_b"), "_w").select("_a", "_b").distinct()
+    # A few with most of these words are enough here: it is only where the search of all begins.
+    pairs = prefix(wa, "_a").join(prefix(wb, "_b"), "_w").groupBy("_a", "_b").agg(F.count("*").alias("_n"))
+    pairs = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("_a").orderBy(F.desc("_n"), "_b"))).where("_k <= 3").select("_a", "_b")
     # Scoring is CPU work on few bytes: spread over the cores, where adaptive execution would take one task.
     spread = pairs.join(a, "_a").join(b, "_b").repartition(left.sparkSession.sparkContext.defaultParallelism * 2, "_a", "_b")
     near = spread.withColumn("_s", word_similarity("_x", "_y"))
     near = near.withColumn("_k", F.row_number().over(Window.partitionBy("_a").orderBy(F.desc("_s"), "_b"))).where("_k = 1")
     scored = near.withColumn("score", F.round(similarity("_x", "_y"), 6)).where(F.col("score") >= least)
-    scored = scored.select("_a", "_b", "score").unionAll(equal)
+    first = scored.select("_a", "_b", "score")
+    scored = _nearest(a.join(first.select("_a", F.col("score").alias("_s")), "_a", "left"), b, least).unionAll(first).unionAll(equal)
     best = scored.withColumn("_k", F.row_number().over(Window.partitionBy("_a").orderBy(F.desc("score"), "_b"))).where("_k = 1")
     return best.select(F.col("_a").alias(left_key), F.col("_b").alias(right_key), "score", (F.col("score") < sure).alias("needs_review"))
+
+
+def _nearest(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(_a, _b, score) of the nearest of each block of right titles, no less than the score _s known so far."""
+    a, b = a.distinct(), b.groupBy("_y").agg(F.min("_b").alias("_b"))
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    n, m = blocks(a, LEFT_BLOCK), blocks(b, RIGHT_BLOCK)
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    x = a.select("_a", "_x", "_s", F.pmod(F.xxhash64("_x"), F.lit(n)).cast("int").alias("_i"), each(m).alias("_j"))
+    y = b.select("_b", "_y", F.pmod(F.xxhash64("_y"), F.lit(m)).cast("int").alias("_j"), each(n).alias("_i"))
+    kinds = dict(a.dtypes)["_a"], dict(b.dtypes)["_b"]
+
+    def run(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(u) and len(v):
+            v = v.sort_values("_b", kind="stable")
+            titles, keys = Titles(list(v["_y"])), list(v["_b"])
+            for key, text, known in zip(u["_a"], u["_x"], u["_s"]):
+                hit = titles.nearest(text, least if pd.isna(known) else max(least, known))
+                if hit:
+                    found.append((key, keys[hit[0]], hit[1]))
+        return pd.DataFrame(found, columns=["_a", "_b", "score"])
+
+    x, y = (df.repartition(n * m, "_i", "_j") for df in (x, y))
+    return x.groupBy("_i", "_j").cogroup(y.groupBy("_i", "_j")).applyInPandas(run, f"_a {kinds[0]}, _b {kinds[1]}, score double")

@@ -38,9 +38,9 @@ def s9_json_flatten(spark, sf):
 
 @query()
 def j12_fuzzy_match(spark, sf):
-    """Each paper of the manifest with the most similar title of the records."""
-    papers = read(spark, sf, "literature_manifest").where("title is not null").groupBy(F.lower(F.trim("source_id")).alias("paper")).agg(F.min("title").alias("title"))
-    titles = read(spark, sf, "extraction_records").where("source_title is not null").groupBy(F.lower(F.trim("source_id")).alias("source")).agg(F.min("source_title").alias("title"))
+    """Each paper of the manifest with the most similar of all titles of the records."""
+    papers = read(spark, sf, "literature_manifest").where("title is not null").select(F.lower(F.trim("source_id")).alias("paper"), "title").distinct()
+    titles = read(spark, sf, "extraction_records").where("source_title is not null").select(F.lower(F.trim("source_id")).alias("source"), F.col("source_title").alias("title")).distinct()
     return matching.best_titles(papers, titles, "paper", "source")
 
 

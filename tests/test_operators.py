@@ -111,6 +111,19 @@ def test_best_titles(spark):
     assert {(r.paper, r.source) for r in got} == {("p1", "s1"), ("p2", "s2")}
 
 
+@pytest.mark.parametrize("block", [5_000, 2])
+def test_best_titles_are_those_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(matching, "RIGHT_BLOCK", block)
+    a = [("p1", "Fatigue of alsi10mg brackets"), ("p2", "crack growth in weldedjoints of steel"), ("p3", "hardness maps of copper"), ("p4", "steel fatigue at high loads"), ("p5", "unlike all"), ("p6", None)]
+    b = [("s1", "Fatigue of al si10 mg brackets"), ("s1", "a title of its own"), ("s2", "crack growths in welded joint of steels"), ("s3", "hardnes map of coper"), ("s4", "high loads at fatigue steel"), ("s5", "steel fatigue at high temperatures")]
+    left, right = spark.createDataFrame(a, "paper string, title string"), spark.createDataFrame(b, "source string, title string")
+    got = {r.paper: (r.source, r.score) for r in matching.best_titles(left, right, "paper", "source").collect()}
+    norm = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    all_pairs = {p: max((round(matching._similar(norm(x), norm(y)), 6), s) for s, y in b) for p, x in a if x}
+    assert got == {p: (s, score) for p, (score, s) in all_pairs.items() if score >= 0.72}
+    assert set(got) == {"p1", "p2", "p3", "p4"}
+
+
 def test_files(spark, tmp_path):
     from pyspark.sql import types as T
 
