@@ -8,6 +8,8 @@ first record that has it, by layer and policy.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -39,23 +41,44 @@ def _filled(df: DataFrame, names: tuple[str, ...]) -> dict:
     return out
 
 
+def _depths(points: list[tuple[float, ...]]) -> list[int]:
+    """Dominance layer of each of distinct points in falling order, so that what dominates a point comes before it.
+
+    A layer is kept as its staircase of second and third values (negated second rising, third rising). A point that is
+    beaten in a layer is beaten in all before it, so its layer is found by bisection."""
+    steps: list[tuple[list[float], list[float]]] = []
+    out = []
+    for _, y, z in points:
+        low, high = 0, len(steps)
+        while low < high:
+            mid = (low + high) // 2
+            ys, zs = steps[mid]
+            i = bisect_right(ys, -y)
+            if i and zs[i - 1] >= z:
+                low = mid + 1
+            else:
+                high = mid
+        if low == len(steps):
+            steps.append(([], []))
+        ys, zs = steps[low]
+        i = j = bisect_left(ys, -y)
+        while j < len(zs) and zs[j] <= z:
+            j += 1
+        ys[i:j], zs[i:j] = [-y], [z]
+        out.append(low + 1)
+    return out
+
+
 def _layers(group: np.ndarray, criteria: np.ndarray) -> np.ndarray:
     """Dominance layer of each row within its group; rows are sorted by group. criteria: larger is better."""
     layer = np.ones(len(group), dtype="int32")
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     ends = np.r_[starts[1:], len(group)]
     for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-        x, left, depth = criteria[a:b], np.arange(b - a), 1
-        while len(left):
-            y = x[left]
-            beaten = np.zeros(len(left), dtype=bool)
-            for i in range(0, len(left), 256):  # in blocks: memory stays linear
-                part = y[i : i + 256]
-                no_worse = (y[None] >= part[:, None]).all(axis=2)
-                better = (y[None] > part[:, None]).any(axis=2)
-                beaten[i : i + 256] = (no_worse & better).any(axis=1)
-            layer[a + left[~beaten]] = depth
-            left, depth = left[beaten], depth + 1
+        rows = list(map(tuple, criteria[a:b].tolist()))
+        points = sorted(set(rows), reverse=True)
+        depth = dict(zip(points, _depths(points)))
+        layer[a:b] = [depth[x] for x in rows]
     return layer
 
 
@@ -64,9 +87,9 @@ def skyline_survivors(
 ) -> DataFrame:
     """(g, survivor, n_records, n_layers, fields...) of each group in (key, g, n).
 
-    Before layering, a record dominated by one that is filled in the same fields is set aside: it can give nothing that
-    the other doesn't. That leaves few records of any group, and is done in parts where a group is large, so no group is
-    ever whole in one task. Null, blank and NaN count as lacking; ties end at the least key; fields that
+    A record dominated by one that is filled in the same fields can give nothing that the other doesn't, but it pushes others
+    to deeper layers: of it only the criteria are kept, once for all records that share them. That is done in parts where a
+    group is large, so no group's records are ever whole in one task, only its distinct criteria. Null, blank and NaN count as lacking; ties end at the least key; fields that
     the table lacks are ignored; empty in, empty out."""
     counted = tuple(c for c in COMPLETENESS if c in df.columns)
     fields = tuple(c for c in fields if c in df.columns)
@@ -80,6 +103,7 @@ def skyline_survivors(
     ).join(groups.select(F.col(key).alias("k"), "g", "n"), "k")
     part = F.when(F.col("n") > LARGE_GROUP, F.pmod(F.xxhash64("k"), F.lit(PARTS))).otherwise(0)
     rows = rows.withColumn("part", part)
+    points = rows.select("g", "n", "complete", "q", "t").distinct()
     for by in (("g", "pattern", "part"), ("g", "pattern")):
         w = Window.partitionBy(*by).orderBy(F.desc("q"), F.desc("t"), "k").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("newest", F.max("t").over(w)).where("newest is null or t > newest").drop("newest")
@@ -91,12 +115,14 @@ def skyline_survivors(
         codes = pd.factorize(pdf["g"])[0]
         pdf["layer"] = _layers(codes, pdf[["complete", "q", "t"]].to_numpy(dtype="float64"))
         deepest = pdf.groupby("g", sort=False)["layer"].max()
+        pdf = pdf[pdf["own"]].astype({"k": "int64"})
         pdf = pdf.sort_values(["g", "layer", "complete", "q", "t", "k"], ascending=[True, True, False, False, False, True], kind="stable")
         by = pdf.groupby("g", sort=False)
         out = by[["k", "n", *fields]].first().reset_index()
         out.insert(3, "n_layers", out["g"].map(deepest).astype("int32"))
         return out.rename(columns={"k": "survivor", "n": "n_records"})
 
-    return rows.drop("pattern", "part").withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets))).groupBy("bucket").applyInPandas(
+    rows = rows.drop("pattern", "part").withColumn("own", F.lit(True)).unionByName(points.withColumn("own", F.lit(False)), allowMissingColumns=True)
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets))).groupBy("bucket").applyInPandas(
         lambda pdf: choose(pdf.drop(columns="bucket")), shape
     )

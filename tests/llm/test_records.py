@@ -207,3 +207,19 @@ def test_survivors(spark, scratch, monkeypatch, large):
     assert out["x"].survivor == 1 and out["x"].doi == "d" and out["x"].alloy == "B" and out["x"].n_records == 4
     assert out["y"].survivor == 5 and out["y"].alloy == "C"
     assert skyline_survivors(df, groups.limit(0), scratch).count() == 0
+
+
+@pytest.mark.parametrize("large", [5_000, 1])
+def test_records_that_give_nothing_still_make_layers(spark, scratch, monkeypatch, large):
+    monkeypatch.setattr("evispark.llm.survivors.LARGE_GROUP", large)
+    many = list(COMPLETENESS[3:])
+
+    def row(i, conf, day, *given, alloy=None):
+        return (i, conf, dt.datetime(2024, 1, day), alloy, *(1.0 if c in given else None for c in many))
+
+    # s beats r, which is filled alike and beats x; y is beaten by s only.
+    rows = [row(1, 0.9, 9, *many[:8]), row(2, 0.8, 8, *many[:8]), row(3, 0.7, 7, *many[1:8], alloy="x"), row(4, 0.85, 6, *many[2:8], alloy="y")]
+    df = spark.createDataFrame(rows, "row_id long, confidence double, extracted_at timestamp, alloy string, " + ", ".join(f"{c} double" for c in many))
+    groups = spark.createDataFrame([(i, "g", 4) for i in range(1, 5)], "row_id long, g string, n long")
+    (out,) = skyline_survivors(df, groups, scratch, fields=("alloy",)).collect()
+    assert (out.survivor, out.n_layers, out.alloy) == (1, 3, "y")
