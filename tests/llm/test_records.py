@@ -97,6 +97,14 @@ def test_canonical_values(spark, scratch):
     assert {r.term_id for r in canonicalise(spark.createDataFrame(rows, FIELDS), spark.createDataFrame([], TERMS), scratch).collect()} == {0}
 
 
+def test_misspellings_are_weighed_by_sources_and_entries(spark, scratch):
+    """One source that repeats its misspelling hides none, and an entry counts in all its forms."""
+    rows = [(i, "Inconell 718", "big") for i in range(50)] + [(100 + i, "IN718", f"s{i}") for i in range(10)] + [(200 + i, "Inconel 719a", f"s{i}") for i in range(5)]
+    df = spark.createDataFrame([(i, v, None, None, None, s) for i, v, s in rows], "row_id long, alloy string, am_process string, surface_condition string, heat_treatment string, source_id string")
+    got = {r.row_id: r.term_id for r in canonicalise(df, spark.createDataFrame(LIST, TERMS), scratch).collect()}
+    assert got == {i: 0 if i >= 200 else 2 for i, _, _ in rows}
+
+
 def test_full_text_index_is_brute_force():
     rng = random.Random(4)
     texts = ["".join(rng.choice("abc:") for _ in range(rng.randint(1, 12))).encode() for _ in range(150)]
