@@ -108,12 +108,18 @@ def test_misspellings_are_weighed_by_sources_and_entries(spark, scratch):
 def test_full_text_index_is_brute_force():
     rng = random.Random(4)
     texts = ["".join(rng.choice("abc:") for _ in range(rng.randint(1, 12))).encode() for _ in range(150)]
-    joined = b"\n" + b"\n".join(texts) + b"\n"
-    asked = [b"\n" + rng.choice(texts) + b"\n" for _ in range(60)] + ["".join(rng.choice("abcd:") for _ in range(rng.randint(1, 12))).encode() for _ in range(60)] + [b""]
-    lengths, places = FullTextIndex(texts).maximal_matches(asked)
-    for p, n, k in zip(asked, lengths, places):
-        want = max(i for i in range(len(p) + 1) if p[len(p) - i :] in joined)
-        assert n == want and k == (sum(joined.startswith(p[len(p) - want :], i) for i in range(len(joined))) if want else 0)
+    asked = [rng.choice(texts) for _ in range(60)] + ["".join(rng.choice("abcd:") for _ in range(rng.randint(1, 12))).encode() for _ in range(60)] + [b""]
+    least = [rng.randint(1, 5) for _ in asked]
+    want = {}
+    for i, p in enumerate(asked):
+        for j, t in enumerate(texts):
+            n = max(n for n in range(len(p) + 1) if p[:n] in t)
+            if n >= least[i]:
+                want[i, j] = n
+    index = FullTextIndex(texts)
+    for x in (index, FullTextIndex.unpacked(index.packed())):
+        assert {(i, j): n for i, j, n in zip(*x.matches(asked, np.array(least), batch=50))} == want
+    assert len(want) > 500
 
 
 VIEW = "view_row_id long, split_name string, source_id string, record_id string, record_fingerprint string, pub string, yield_strength_mpa double, uts_mpa double, elongation_percent double, hardness_hv double, stress_amplitude_mpa double, r_ratio double, frequency_hz double, log10_fatigue_life_cycles double, spans long"
@@ -158,6 +164,19 @@ def test_overlaps_are_all_pairs(spark, scratch):
     assert split_overlaps(spark.createDataFrame([r for r in rows if side(r) == "train"], VIEW), scratch).count() == 0
 
 
+def test_pairs_come_from_the_index(spark, scratch, monkeypatch):
+    """Without its partial matches pairs are lost that no equal text has; without any match all are."""
+    rows = view_rows(160, 6)
+    df = spark.createDataFrame(rows, VIEW)
+    whole = {(r.train_id, r.held_id) for r in split_overlaps(df, scratch).collect()}
+    equal_only = lambda train, indexes, shards: train.select("id", F.col("id").alias("held_id"), F.length("text").cast("bigint").alias("letters")).distinct()
+    monkeypatch.setattr("evispark.llm.overlaps.text_matches", equal_only)
+    fewer = {(r.train_id, r.held_id) for r in split_overlaps(df, scratch).collect()}
+    assert fewer < whole
+    monkeypatch.setattr("evispark.llm.overlaps.text_matches", lambda *a: equal_only(*a).limit(0))
+    assert split_overlaps(df, scratch).count() == 0
+
+
 def test_groups_are_components_of_alike_rows(spark, scratch):
     rows = [(r[0], r[5], *r[6:14]) for r in view_rows(150, 8)]
     schema = "row_id long, pub string, " + ", ".join(f"{m} double" for m in MEASURES)
