@@ -1,15 +1,20 @@
 """Problem 10: keyword-stuffed and link-list pages.
 
 Words and pairs of neighbouring words are counted over the whole corpus. From these counts come the pointwise mutual
-information (PMI) of neighbours and, for every word and pair, how much more often suspect pages hold it than others.
+information (PMI) of neighbours. A page is found when
 
-Suspect at first are pages made of excessively repeated collocations, link lists, and word salad of low mean PMI; each
-round counts again with the pages found so far. A page is found when most of its neighbouring pairs are collocations of
-suspect pages, when it repeats its own words in excess, or when its mean PMI is low. Numbers stand for one another and
-pairs of two numbers count for nothing, so tables and logs, whose phrases repeat around numbers, are no repetition.
+ * its mean PMI is low: incoherent word salad, or
+ * much of it is collocations (pairs of high PMI) that it repeats in excess, or
+ * most of its pairs are at home in pages found so: their log-odds, from counts of the pages found by the first two, and
+   then twice more with the pages that these odds find. Without PMI no page is found, so no pair has odds.
 
-All counts are used, however rare the word or pair: the frequent ones are broadcast, the rarer ones joined to their pages.
-What only one page holds needs no join, as its counts are the page's own.
+An address, or a link with its text, is one word that stands for all of them, so is a hash tag: a list of them is one
+collocation repeated.
+Numbers stand for one another too, but pairs with a number are never collocations, so tables and logs, whose phrases repeat
+around numbers, are no repetition.
+
+All counts are used, however rare the word or pair: at most MOST_LISTED of the most frequent are broadcast, the rarer ones
+joined to the batches of documents that hold them. What one page alone holds needs no join: its counts are the page's own.
 """
 
 from __future__ import annotations
@@ -18,42 +23,57 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evispark.llm.tokens import spread
 from evispark.session import Scratch
 
+#: The words that stand for addresses and for tags; letters that no text is likely to hold alone.
+_ADDRESS, _HASH = " ꙮ ", " Ꙭ "
 _URL = re.compile(r"(?:https?://|www\.)[^\s)\"'<>\]]+", re.I)
 _CONTENT = re.compile(r"content=\"([^\"]*)\"")
 _TAG = re.compile(r"<[^>]{0,300}>")
+#: A link with its text, in markup and in markdown; an opening tag whose end is missing.
+_LINKED = re.compile(r"<a\s[^<>]{0,400}>[^<>]{0,200}</a>", re.I)
+_MARKDOWN = re.compile(r"\[[^\[\]]{0,200}\]\((?:https?://|www\.|/)[^\s()]{0,400}\)", re.I)
 _LINK = re.compile(r"<a\s", re.I)
-_HASHTAG = re.compile(r"(?<!\S)#[^\W\d_][\w-]+|(?<!\S)#\d+[^\W\d_][\w-]*")
+_HASHTAG = re.compile(r"(?<!\S)#[^\W\d_][\w-]+|(?<!\S)#\d+[\w-]*[^\W\d_][\w-]*")
 _WORD = re.compile(r"[^\W_]+")
 _NUMBER = re.compile(r"\d+[a-z]{0,2}")
 _MASK = (1 << 62) - 1
 MOST_CACHED = 1_000_000
 
-#: Words and pairs in fewer documents, as a share of all, are joined instead of broadcast. With d of them in a document on
-#: average at most d / SHARE can be above it, however many documents there are: what is broadcast is bounded.
-SHARE = 1e-4
-MOST_FEATURES = 20_000_000
-#: A pair repeated at least so often, making up so much of the page, is excessive.
-REPEATS, REPEAT_SHARE = 3, 0.01
-#: First suspects: share of pairs in excessive collocations, numbers at most; links or hashtags per word, numbers at most.
-STUFFED, NUMBERS, LINKS, LINK_NUMBERS = 0.5, 0.03, 0.12, 0.15
-#: Word salad: mean PMI so many deviations below the corpus mean, with this share of suspect pairs.
-#: Deviations below the mean from which PMI is low; least share of a page's pairs of words that must be of known words.
-DEVIATIONS, JUDGED = 2.0, 0.5
-#: A pair counts as spam from this log-odds, a page from this share of its pairs.
-ODDS, MOST_OF_TEXT = 0.7, 0.5
-LEAST_WORDS, LEAST_LINKS = 8, 3
-ROUNDS = 2
+#: Words of a batch of documents, and words and pairs that are broadcast at most; the others are joined. Layout only.
+BATCH_WORDS, MOST_LISTED = 400_000, 1_000_000
+
+
+@dataclass(frozen=True)
+class Rules:
+    """collocation: the PMI from which a pair is one. repeats, repeat_share: how often, and for what part of the page's
+    pairs, a collocation is repeated in excess. stuffed: the part of the pairs from which a page of at least words words is
+    made of them, with at most the part numbers of numbers. deviations: how many below the mean of all pages a mean PMI is
+    low, if at least the part judged of the pairs is of words that other pages know. odds, most: the log-odds from which a
+    pair, and the part of pairs from which a page of at least few words, is spam. rounds: of counting with what is found."""
+
+    collocation: float = 2.0
+    repeats: int = 3
+    repeat_share: float = 0.01
+    stuffed: float = 0.5
+    numbers: float = 0.03
+    words: int = 30
+    deviations: float = 2.0
+    judged: float = 0.5
+    odds: float = 0.7
+    most: float = 0.4
+    few: int = 8
+    rounds: int = 3
+
 
 _hashes: dict[str, int] = {}
 
@@ -70,58 +90,64 @@ def _hash(word: str) -> int:
     return h
 
 
-def hashed_words(text: str) -> tuple[list[int], int, float]:
-    """(hashed words without markup and addresses, number of links or hashtags, share of the letters in addresses)."""
-    size, bare = max(1, len(text)), 0.0
+def hashed_words(text: str) -> list[int]:
+    """Hashed words without markup; addresses, links and tags as the words that stand for them."""
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    links = 0
     if "<" in text:
-        links = len(_LINK.findall(text))
+        text = _LINK.sub(_ADDRESS + "<a ", _LINKED.sub(_ADDRESS, text))
         text = _TAG.sub(" ", _CONTENT.sub(r"> \1 <", text))
-    if "://" in text or "www." in text:
-        found = _URL.findall(text)
-        if len(found) >= LEAST_LINKS:
-            bare = sum(map(len, found)) / size
-        text = _URL.sub(" ", text)
-        links = max(links, len(found))
+    if "](" in text:
+        text = _MARKDOWN.sub(_ADDRESS, text)
+    if "://" in text or "www." in text or "WWW." in text:
+        text = _URL.sub(_ADDRESS, text)
     if "#" in text:
-        links = max(links, len(_HASHTAG.findall(text)))
+        text = _HASHTAG.sub(_HASH, text)
     known = _hashes.get
-    return [h if (h := known(w)) is not None else _hash(w) for w in _WORD.findall(text.lower())], links, bare
-
-
-_WORDS = T.StructType().add("words", T.ArrayType(T.LongType())).add("links", T.IntegerType()).add("bare", T.DoubleType())
-
-
-@F.pandas_udf(_WORDS)
-def words_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in texts:
-        yield pd.DataFrame([hashed_words(t) if isinstance(t, str) else ([], 0, 0.0) for t in s], columns=["words", "links", "bare"])
+    return [h if (h := known(w)) is not None else _hash(w) for w in _WORD.findall(text.lower())]
 
 
 class Batch:
-    """Words and pairs of some documents in flat arrays, as places in the arrays of distinct ones (words, pairs)."""
-
-    def __init__(self, words: list[np.ndarray]):
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        self.docs = len(words)
-        self.sizes = sizes
-        flat = np.concatenate(words).astype(np.int64) if len(words) and sizes.sum() else np.zeros(0, dtype=np.int64)
-        self.word, self.words = pd.factorize(flat)
-        self.doc = np.repeat(np.arange(len(words)), sizes)
-        number = flat == 0
-        self.numbers = np.bincount(self.doc[number], minlength=len(words))
+    """Words and pairs of some documents in flat arrays: the distinct ones (words, pairs; together the features), the place
+    of each among them, and which document holds which feature."""
+
+    _ARRAYS = {"sizes": "int", "words": "bigint", "word": "int", "pairs": "bigint", "pair": "int", "held": "int", "holder": "int"}
+
+    @classmethod
+    def of(cls, texts: list[list[int]]) -> Batch:
+        b = cls.__new__(cls)
+        b.sizes = np.array([len(t) for t in texts], dtype=np.int32)
+        flat = np.fromiter((w for t in texts for w in t), dtype=np.int64, count=int(b.sizes.sum()))
+        b.word, b.words = pd.factorize(flat)
+        b._places()
+        key = b.left * max(1, len(b.words)) + b.right
+        b.pair, distinct = pd.factorize(key)
+        x, y = np.divmod(distinct, max(1, len(b.words)))
+        b.pairs = b.mixed(b.words[x], b.words[y])
+        n = len(b.words)
+        each = pd.unique(np.r_[b.word * b.docs + b.doc, (b.pair + n) * b.docs + b.pair_doc])
+        b.held, b.holder = np.divmod(each, max(1, b.docs))
+        return b
+
+    @classmethod
+    def stored(cls, row) -> Batch:
+        b = cls.__new__(cls)
+        for k in cls._ARRAYS:
+            setattr(b, k, np.asarray(row[k]).astype(np.int64))
+        b._places()
+        return b
+
+    def _places(self) -> None:
+        self.docs = len(self.sizes)
+        self.doc = np.repeat(np.arange(self.docs), self.sizes)
+        number = self.words[self.word] == 0 if len(self.words) else np.zeros(0, dtype=bool)
+        self.numbers = np.bincount(self.doc[number], minlength=self.docs) / np.maximum(1, self.sizes)
         real = (self.doc[:-1] == self.doc[1:]) & ~(number[:-1] & number[1:])
         self.left, self.right, self.pair_doc = self.word[:-1][real], self.word[1:][real], self.doc[:-1][real]
-        self.pair, distinct = pd.factorize(self.left * max(1, len(self.words)) + self.right)
-        a, b = np.divmod(distinct, max(1, len(self.words)))
-        self.pairs = self.mixed(self.words[a], self.words[b])
-        #: Whether a distinct pair is of two words.
-        self.verbal = (self.words[a] != 0) & (self.words[b] != 0)
-        self.pairs_in = np.bincount(self.pair_doc, minlength=len(words))
+        self.verbal = ~(number[:-1] | number[1:])[real]
+        self.pairs_in = np.bincount(self.pair_doc, minlength=self.docs)
 
     @staticmethod
     def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,214 +155,257 @@ class Batch:
         mixed ^= mixed >> np.uint64(29)
         return (mixed & np.uint64(_MASK)).astype(np.int64) & ~np.int64(1)  # even: never a word
 
+    @property
+    def features(self) -> np.ndarray:
+        return np.r_[self.words, self.pairs]
+
+    def own(self) -> np.ndarray:
+        """How often each feature stands in the batch."""
+        return np.r_[np.bincount(self.word, minlength=len(self.words)), np.bincount(self.pair, minlength=len(self.pairs))]
+
     def share(self, what: np.ndarray) -> np.ndarray:
         return np.bincount(self.pair_doc, weights=what, minlength=self.docs) / np.maximum(1, self.pairs_in)
 
-    def stuffed(self) -> np.ndarray:
-        """Share of a document's pairs that are words repeated in excess."""
+    def repeated(self, rules: Rules) -> np.ndarray:
+        """Whether a document repeats the pair that stands at each place in excess; pairs with a number never."""
         place, _ = pd.factorize(self.pair_doc * max(1, len(self.pairs)) + self.pair)
         times = np.bincount(place)[place] if len(place) else np.zeros(0)
-        much = (times >= REPEATS) & (times >= REPEAT_SHARE * self.pairs_in[self.pair_doc])
-        return self.share(much & self.verbal[self.pair])
-
-    def excessive(self) -> np.ndarray:
-        """Whether a document is mostly words repeated in excess."""
-        return (self.stuffed() > STUFFED) & (self.numbers / np.maximum(1, self.sizes) < NUMBERS) & (self.sizes >= 30)
-
-    def suspects(self, links: np.ndarray) -> np.ndarray:
-        n = np.maximum(1, self.sizes)
-        listed = (links / n > LINKS) & (self.numbers / n < LINK_NUMBERS) & (links >= 5)
-        return self.excessive() | (listed & (self.sizes >= 20))
-
-    def _counted(self, feature: np.ndarray, place: np.ndarray, doc: np.ndarray, suspect: np.ndarray) -> pd.DataFrame:
-        each = pd.unique(place * self.docs + doc)
-        of, d = np.divmod(each, max(1, self.docs))
-        return pd.DataFrame({
-            "feature": feature, "n": np.bincount(place, minlength=len(feature)), "df": np.bincount(of, minlength=len(feature)),
-            "df_suspect": np.bincount(of[suspect[d]], minlength=len(feature)),
-        })
-
-    def counts(self, suspect: np.ndarray) -> pd.DataFrame:
-        """(feature, n, df, df_suspect) of words and pairs."""
-        return pd.concat(
-            [self._counted(self.words, self.word, self.doc, suspect), self._counted(self.pairs, self.pair, self.pair_doc, suspect)]
-        )
-
-
-class Lexicon:
-    """Counts of words and pairs, sorted for binary search."""
-
-    def __init__(self, counts: pd.DataFrame, words: int, docs: int, suspects: int, pmi: tuple[float, float] | None = None):
-        #: Mean and deviation of the pages' mean PMI, once known.
-        self.pmi = pmi
-        counts = counts.sort_values("feature")
-        self.feature = counts["feature"].to_numpy(dtype=np.int64)
-        self.n, self.words, self.docs, self.suspects = counts["n"].to_numpy(dtype="float64"), max(1, words), docs, suspects
-        df, bad = counts["df"].to_numpy(dtype="float64"), counts["df_suspect"].to_numpy(dtype="float64")
-        good, other, total = df - bad, docs - suspects, max(1, docs)
-        # One document's worth of pseudo-counts, shared as the documents are: nothing known means no odds.
-        self.odds = np.log((bad + suspects / total) / (suspects + 1)) - np.log((good + other / total) / (other + 1)) if suspects else np.zeros(len(df))
-
-    def rest(self, counts: pd.DataFrame) -> Lexicon:
-        """The same for other words and pairs."""
-        return Lexicon(counts, self.words, self.docs, self.suspects)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of the keys, -1 where not listed."""
+        return (times >= rules.repeats) & (times >= rules.repeat_share * self.pairs_in[self.pair_doc]) & self.verbal
+
+    def counts(self) -> pd.DataFrame:
+        """(feature, n, df) of words and pairs."""
+        features = self.features
+        return pd.DataFrame({"feature": features, "n": self.own(), "df": np.bincount(self.held, minlength=len(features))})
+
+    def held_by(self, docs: np.ndarray) -> pd.DataFrame:
+        """(feature, n, df): of the features that some documents hold, the number of these documents as df."""
+        df = np.bincount(self.held[docs[self.holder]], minlength=len(self.words) + len(self.pairs))
+        some = df > 0
+        return pd.DataFrame({"feature": self.features[some], "n": 0, "df": df[some]})
+
+
+class Sorted:
+    """Values by feature, sorted for binary search."""
+
+    def __init__(self, rows: pd.DataFrame, *columns: str):
+        rows = rows.sort_values("feature")
+        self.feature = rows["feature"].to_numpy(dtype=np.int64)
+        self.values = [rows[c].to_numpy(dtype="float64") for c in columns]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(whether listed, each value or 0) of the keys."""
         if not len(self.feature):
-            return np.full(len(keys), -1)
+            return (np.zeros(len(keys), dtype=bool), *(np.zeros(len(keys)) for _ in self.values))
         at = np.minimum(np.searchsorted(self.feature, keys), len(self.feature) - 1)
-        return np.where(self.feature[at] == keys, at, -1)
-
-    def _value(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return np.where(at >= 0, values[np.maximum(at, 0)] if len(values) else 0.0, 0.0)
-
-    def known(self, keys: np.ndarray, rare: Lexicon | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(whether listed here or among the rare, count, odds) of the keys."""
-        at = self.find(keys)
-        listed, n, odds = at >= 0, self._value(at, self.n), self._value(at, self.odds)
-        if rare is None:
-            return listed, n, odds
-        more, m, o = rare.known(keys, None)
-        return listed | more, np.where(listed, n, m), np.where(listed, odds, o)
-
-    def score(self, b: Batch, suspect: np.ndarray | None = None, rare: Lexicon | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(share of spam pairs, mean PMI of neighbouring words) of each document.
-
-        A pair that isn't listed is the document's own: spam in one that is suspect at first, else as its words are. In the
-        mean it has one smoothed occurrence, if both words are known; NaN where fewer than JUDGED of the pairs are."""
-        (lp, np_, op), (lw, nw, ow) = (tuple(v[at] for v in self.known(keys, rare)) for keys, at in ((b.pairs, b.pair), (b.words, slice(None))))
-        lx, ly = ow[b.left], ow[b.right]
-        odds = np.where(lp, op, np.where(np.minimum(lx, ly) > 0, np.maximum(lx, ly), np.minimum(lx, ly)))
-        spam = odds > ODDS
-        if suspect is not None:
-            spam |= ~lp & suspect[b.pair_doc]
-        verbal = b.verbal[b.pair]
-        both = lw[b.left] & lw[b.right] & verbal
-        chance = nw[b.left] * nw[b.right] / self.words
-        pmi, old, new = np.zeros(len(lp)), both & lp, both & ~lp
-        pmi[old] = np.log(np_[old] / chance[old])
-        pmi[new] = -np.log1p(chance[new])
-        seen, of = (np.bincount(b.pair_doc, weights=x, minlength=b.docs) for x in (both, verbal))
-        mean = np.bincount(b.pair_doc, weights=pmi, minlength=b.docs) / np.maximum(1, seen)
-        return b.share(spam), np.where((seen > 0) & (seen >= JUDGED * of), mean, np.nan)
-
-
-_COUNTS = "feature bigint, n bigint, df bigint, df_suspect bigint"
-
-
-def _merge(parts: list[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(parts).groupby("feature", as_index=False, sort=False).sum()
-
-
-def _read(pdf: pd.DataFrame) -> Batch:
-    return Batch([np.asarray(w, dtype=np.int64) for w in pdf["words"]])
-
-
-def _scored(pdf: pd.DataFrame, lexicon: Lexicon) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray]:
-    """(batch, share of spam pairs, mean PMI, found) of documents with the counts of their rare words and pairs."""
-    b = _read(pdf)
-    rare = None
-    if "rare" in pdf and (held := [x for x in pdf["rare"] if x is not None and len(x)]):
-        rows = pd.DataFrame([tuple(y.values()) if isinstance(y, dict) else tuple(y) for x in held for y in x], columns=["feature", "n", "df", "df_suspect"])
-        rare = lexicon.rest(rows.drop_duplicates("feature"))
-    share, pmi = lexicon.score(b, b.suspects(pdf["links"].to_numpy(dtype="float64")), rare)
-    found = ((share > MOST_OF_TEXT) & (b.sizes >= LEAST_WORDS)) | b.excessive()
-    if lexicon.pmi:
-        mean, deviation = lexicon.pmi
-        found |= (pmi < mean - DEVIATIONS * deviation) & (b.sizes >= 30)
-    return b, share, pmi, found
-
-
-#: Features of totals: documents and words; sums of the mean PMI and its square, in millionths.
-_TOTAL, _PMI = -1, -2
-
-
-def _counted(words: DataFrame, lexicon) -> DataFrame:
-    """Counts with the pages that are suspect at first (no lexicon) or by the lexicon; feature -1 holds the totals."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, rows = [], 0
-        known = lexicon.value if lexicon is not None else None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if known is None:
-                b = _read(pdf)
-                suspect = b.suspects(pdf["links"].to_numpy(dtype="float64"))
-            else:
-                b, _, pmi, suspect = _scored(pdf, known)
-                m = pmi[(b.sizes >= 30) & ~np.isnan(pmi)]
-                parts.append(pd.DataFrame({"feature": [_PMI], "n": [round(m.sum() * 1e6)], "df": [len(m)], "df_suspect": [round((m * m).sum() * 1e6)]}))
-            parts.append(pd.DataFrame({"feature": [_TOTAL], "n": [len(b.word)], "df": [b.docs], "df_suspect": [int(suspect.sum())]}))
-            parts.append(b.counts(suspect))
-            rows += len(parts[-1])
-            if rows > 2_000_000:
-                yield _merge(parts)
-                parts, rows = [], 0
-        if parts:
-            yield _merge(parts)
-
-    return words.mapInPandas(run, _COUNTS).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("df").alias("df"), F.sum("df_suspect").alias("df_suspect"))
-
-
-def _lexicon(words: DataFrame, scratch: Scratch, before) -> tuple[Lexicon, DataFrame | None]:
-    """The frequent words and pairs, and the counts of the rarer ones that more than one document holds, if there are any."""
-    counts = scratch.keep(_counted(words, before))
-    totals = {r.feature: r for r in counts.where("feature < 0").collect()}
-    n, docs, suspects = (totals[_TOTAL].n, totals[_TOTAL].df, totals[_TOTAL].df_suspect) if totals else (0, 0, 0)
-    pmi = None
-    if _PMI in totals and totals[_PMI].df:
-        mean = totals[_PMI].n / 1e6 / totals[_PMI].df
-        pmi = mean, max(0.0, totals[_PMI].df_suspect / 1e6 / totals[_PMI].df - mean * mean) ** 0.5
-    least = max(2.0, SHARE * docs)
-    listed = counts.where((F.col("feature") >= 0) & (F.col("df") >= least)).limit(MOST_FEATURES + 1).toPandas()
-    if len(listed) > MOST_FEATURES:
-        raise ValueError("documents of this length need a larger SHARE")
-    return Lexicon(listed, n, docs, suspects, pmi), counts.where((F.col("feature") >= 0) & (F.col("df") >= 2) & (F.col("df") < least)) if least > 2 else None
-
-
-def _with_rare(words: DataFrame, lexicon, rare: DataFrame | None) -> DataFrame:
-    """The words with the counts of those words and pairs of a row that aren't broadcast."""
-    if rare is None:
-        return words
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            b, rows = _read(pdf), pdf["row"].to_numpy()
-            for keys, place, doc in ((b.words, b.word, b.doc), (b.pairs, b.pair, b.pair_doc)):
-                new = (lexicon.value.find(keys) < 0)[place]
-                each = pd.unique(place[new] * max(1, b.docs) + doc[new])
-                of, d = np.divmod(each, max(1, b.docs))
-                yield pd.DataFrame({"row": rows[d], "feature": keys[of]})
-
-    held = words.select("row", "words").mapInPandas(run, "row bigint, feature bigint").join(rare, "feature")
-    return words.join(held.groupBy("row").agg(F.collect_list(F.struct("feature", "n", "df", "df_suspect")).alias("rare")), "row", "left")
-
-
-def page_scores(documents: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_words, spam_share, mean_pmi, found) of every document.
-
-    found: at least LEAST_WORDS words and over half of the pairs are collocations of suspect pages or, in a first suspect,
-    its own; or words repeated in excess; or a mean PMI DEVIATIONS below that of all pages; or three addresses or more hold
-    over half of the letters. Null, empty and blank texts have no words and are not found; repeated rows count as documents
-    each. mean_pmi is NaN where too few pairs are of known words."""
+        hit = self.feature[at] == keys
+        return (hit, *(np.where(hit, v[at], 0.0) for v in self.values))
+
+
+@dataclass
+class Corpus:
+    """What is known of all documents. least: features in at least so many documents are listed in counts; what fewer but
+    more than one hold comes with each batch. suspects: documents by listed feature, of_suspects in all. pmi: the mean and
+    deviation of the pages' mean PMI, once known."""
+
+    words: int
+    docs: int
+    counts: Sorted
+    least: float
+    suspects: Sorted | None = None
+    of_suspects: int = 0
+    pmi: tuple[float, float] | None = None
+
+    def judge(self, b: Batch, rules: Rules, rare: pd.DataFrame | None = None) -> tuple[np.ndarray, ...]:
+        """(share of spam pairs, mean PMI, excess, low, odds) of each document; the last three say whether it is found so."""
+        features = b.features
+        shared, n, df = self.counts.find(features)
+        bad = self.suspects.find(features)[1] if self.suspects else np.zeros(len(features))
+        if rare is not None and len(rare):
+            more, m, d, s = Sorted(rare, "n", "df", "df_suspect").find(features)
+            shared, n, df, bad = shared | more, np.where(more, m, n), np.where(more, d, df), np.where(more, s, bad)
+        # What no other document holds stands here only.
+        n = np.where(shared, n, b.own())
+        words = len(b.words)
+        lone, pair_n, word_n = ~shared[words:][b.pair], n[words:][b.pair], n[:words]
+        chance = word_n[b.left] * word_n[b.right] / max(1, self.words)
+        pmi = np.log(pair_n / chance)
+        excess = b.repeated(rules) & (pmi >= rules.collocation)
+        enough = b.sizes >= rules.words
+        stuffed = (b.share(excess) > rules.stuffed) & (b.numbers < rules.numbers) & (b.sizes >= rules.few)
+        # In the mean, a pair of this page alone has one smoothed occurrence, if other pages know both of its words.
+        judged = shared[:words][b.left] & shared[:words][b.right] & b.verbal
+        smoothed = np.where(judged, np.where(lone, -np.log1p(chance), pmi), 0.0)
+        seen, of = (np.bincount(b.pair_doc, weights=x, minlength=b.docs) for x in (judged, b.verbal))
+        mean = np.bincount(b.pair_doc, weights=smoothed, minlength=b.docs) / np.maximum(1, seen)
+        mean = np.where((seen > 0) & (seen >= rules.judged * of), mean, np.nan)
+        low = (mean < self.pmi[0] - rules.deviations * self.pmi[1]) & enough if self.pmi else np.zeros(b.docs, dtype=bool)
+        share = np.zeros(b.docs)
+        if self.of_suspects:
+            # One document's worth of pseudo-counts, shared as the documents are: nothing known means no odds.
+            good, s, o, total = df - bad, self.of_suspects, self.docs - self.of_suspects, max(1, self.docs)
+            odds = np.log((bad + s / total) / (s + 1)) - np.log((good + o / total) / (o + 1))
+            x, y = (np.where(shared[:words], odds[:words], 0.0)[side] for side in (b.left, b.right))
+            by_words = np.where(np.minimum(x, y) > 0, np.maximum(x, y), np.minimum(x, y))
+            spam = np.where(lone, by_words, odds[words:][b.pair]) > rules.odds
+            share = b.share(spam | (lone & stuffed[b.pair_doc]))
+        return share, mean, stuffed, low, (share > rules.most) & (b.sizes >= rules.few)
+
+
+#: Features of totals: documents and words; suspects; the pages that have a mean PMI, and sums of it and its square, in millionths.
+_TOTAL, _SUSPECT, _PMI, _PMI2 = -1, -2, -3, -4
+_COUNTS = "feature bigint, n bigint, df bigint"
+
+
+def _merged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of several batches added up before they leave the task."""
+    held, rows = [], 0
+    for p in parts:
+        held.append(p)
+        rows += len(p)
+        if rows > 2_000_000:
+            yield pd.concat(held).groupby("feature", as_index=False, sort=False).sum()
+            held, rows = [], 0
+    if held:
+        yield pd.concat(held).groupby("feature", as_index=False, sort=False).sum()
+
+
+def batches(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """(batch, docs, arrays...): the documents by some hundred thousand words, one row each, hashed and paired once."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            ids, texts, words = [], [], 0
+            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
+                ids.append(i)
+                texts.append(hashed_words(t) if isinstance(t, str) else [])
+                words += len(texts[-1])
+                if words > BATCH_WORDS:
+                    yield one(ids, texts)
+                    ids, texts, words = [], [], 0
+            if ids:
+                yield one(ids, texts)
+
+    def one(ids: list[int], texts: list[list[int]]) -> pd.DataFrame:
+        b = Batch.of(texts)
+        return pd.DataFrame({"ids": [np.array(ids, dtype=np.int64)], **{k: [getattr(b, k).astype(np.int64 if t == "bigint" else np.int32)] for k, t in Batch._ARRAYS.items()}})
+
+    shape = "ids array<bigint>, " + ", ".join(f"{k} array<{t}>" for k, t in Batch._ARRAYS.items())
+    made = spread(documents.select("doc_id", "text")).mapInPandas(run, shape)
+    return scratch.keep(made.select(F.monotonically_increasing_id().alias("batch"), "*"))
+
+
+def _counted(stored: DataFrame) -> DataFrame:
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts() -> Iterator[pd.DataFrame]:
+            for pdf in pdfs:
+                for row in pdf.to_dict("records"):
+                    b = Batch.stored(row)
+                    yield pd.DataFrame({"feature": [_TOTAL], "n": [len(b.word)], "df": [b.docs]})
+                    yield b.counts()
+
+        yield from _merged(parts())
+
+    return stored.mapInPandas(run, _COUNTS).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
+def _rare_of(row: dict) -> pd.DataFrame | None:
+    rare = row.get("rare")
+    if rare is None or not len(rare):
+        return None
+    return pd.DataFrame([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in rare], columns=["feature", "n", "df", "df_suspect"])
+
+
+def _suspected(stored: DataFrame, corpus, rules: Rules) -> DataFrame:
+    """(feature, n, df) of the pages found so far, and the totals."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: Corpus = corpus.value
+
+        def parts() -> Iterator[pd.DataFrame]:
+            for pdf in pdfs:
+                for row in pdf.to_dict("records"):
+                    b = Batch.stored(row)
+                    _, mean, stuffed, low, odds = known.judge(b, rules, _rare_of(row))
+                    found = stuffed | low | odds
+                    m = mean[(b.sizes >= rules.words) & ~np.isnan(mean)]
+                    yield pd.DataFrame({
+                        "feature": [_SUSPECT, _PMI, _PMI2], "n": [0, round(m.sum() * 1e6), round((m * m).sum() * 1e6)], "df": [int(found.sum()), len(m), 0],
+                    })
+                    yield b.held_by(found)
+
+        yield from _merged(parts())
+
+    return stored.mapInPandas(run, _COUNTS).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
+def _with_rare(stored: DataFrame, counts: DataFrame, suspected: DataFrame | None, corpus, scratch: Scratch) -> DataFrame:
+    """The batches with the counts of their words and pairs that several documents hold, but too few to be listed."""
+    least = corpus.value.least
+    if least <= 2:
+        return stored
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for row in pdf.to_dict("records"):
+                keys = np.r_[np.asarray(row["words"]), np.asarray(row["pairs"])].astype(np.int64)
+                yield pd.DataFrame({"batch": row["batch"], "feature": keys[~corpus.value.counts.find(keys)[0]]})
+
+    rare = counts.where((F.col("feature") >= 0) & (F.col("df") >= 2) & (F.col("df") < least))
+    bad = F.lit(0).cast("bigint")
+    if suspected is not None:
+        rare = rare.join(suspected.select("feature", F.col("df").alias("bad")), "feature", "left")
+        bad = F.coalesce("bad", bad)
+    asked = stored.select("batch", "words", "pairs").mapInPandas(run, "batch bigint, feature bigint")
+    each = asked.join(rare.select("feature", "n", "df", bad.alias("df_suspect")), "feature")
+    return scratch.keep(stored.join(each.groupBy("batch").agg(F.collect_list(F.struct("feature", "n", "df", "df_suspect")).alias("rare")), "batch", "left"))
+
+
+def _least(counts: DataFrame) -> int:
+    """The least number of documents, a power of two, from which at most MOST_LISTED features are."""
+    by = counts.where("feature >= 0 and df >= 2").groupBy(F.floor(F.log2("df")).cast("int").alias("p")).agg(F.count("*").alias("n")).orderBy(F.desc("p")).collect()
+    listed = 0
+    for r in by:
+        listed += r.n
+        if listed > MOST_LISTED:
+            return 2 << r.p
+    return 2
+
+
+def page_scores(documents: DataFrame, scratch: Scratch, rules: Rules = Rules()) -> DataFrame:
+    """(doc_id, n_words, spam_share, mean_pmi, found, why) of every document.
+
+    why: "salad" (low mean PMI), "collocations" (repeated in excess) or "odds" (most of its pairs are those of pages found
+    so), the first that holds; null where not found. Null, empty and blank texts have no words and are not found; repeated
+    rows count as documents each. mean_pmi is NaN where too few pairs are of words that other pages know."""
     spark = documents.sparkSession
-    words = scratch.keep(
-        spread(documents.select("doc_id", "text")).select("doc_id", words_of("text").alias("w")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "w.*")
-    )
-    lexicon, scored = None, words
-    for _ in range(rounds):
-        known, rare = _lexicon(scored, scratch, lexicon)
-        lexicon = spark.sparkContext.broadcast(known)
-        scored = _with_rare(words, lexicon, rare)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            b, share, pmi, found = _scored(pdf, lexicon.value)
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "n_words": b.sizes, "spam_share": share, "mean_pmi": pmi,
-                "found": found | (pdf["bare"].to_numpy() > MOST_OF_TEXT),
-            })
-
-    return scored.mapInPandas(run, "doc_id bigint, n_words bigint, spam_share double, mean_pmi double, found boolean")
+    stored = batches(documents, scratch)
+    counts = scratch.keep(_counted(stored))
+    total = counts.where(F.col("feature") == _TOTAL).first()
+    least = _least(counts)
+    listed = counts.where((F.col("feature") >= 0) & (F.col("df") >= least)).toPandas()
+    known = Corpus(total.n if total else 0, total.df if total else 0, Sorted(listed, "n", "df"), least)
+    suspected = None
+    for _ in range(rules.rounds):
+        corpus = spark.sparkContext.broadcast(known)
+        suspected = scratch.keep(_suspected(_with_rare(stored, counts, suspected, corpus, scratch), corpus, rules))
+        totals = {r.feature: r for r in suspected.where("feature < 0").collect()}
+        # Of what is broadcast already: no more rows than that.
+        bad = suspected.where("feature >= 0").join(counts.where(F.col("df") >= least).select("feature"), "feature", "left_semi").toPandas()
+        pages = totals[_PMI].df if totals else 0
+        mean = totals[_PMI].n / 1e6 / pages if pages else 0.0
+        pmi = (mean, max(0.0, totals[_PMI2].n / 1e6 / pages - mean * mean) ** 0.5) if pages else None
+        known = Corpus(known.words, known.docs, known.counts, least, Sorted(bad, "df"), totals[_SUSPECT].df if totals else 0, pmi)
+    corpus = spark.sparkContext.broadcast(known)
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for row in pdf.to_dict("records"):
+                b = Batch.stored(row)
+                share, mean, stuffed, low, odds = corpus.value.judge(b, rules, _rare_of(row))
+                yield pd.DataFrame({
+                    "doc_id": np.asarray(row["ids"]), "n_words": b.sizes, "spam_share": share, "mean_pmi": mean, "found": stuffed | low | odds,
+                    "why": np.select([low, stuffed, odds], ["salad", "collocations", "odds"], None),
+                })
+
+    final = _with_rare(stored, counts, suspected, corpus, scratch)
+    return final.mapInPandas(run, "doc_id bigint, n_words bigint, spam_share double, mean_pmi double, found boolean, why string")

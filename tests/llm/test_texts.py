@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evispark.llm.packing import best_fit, pack_bucket, pack_documents, unused_space
-from evispark.llm.spam import Batch, Lexicon, hashed_words, page_scores
+from evispark.llm.spam import Batch, Corpus, Rules, Sorted, hashed_words, page_scores
 from evispark.llm.tokens import PATTERN, TOKENIZERS, encoded, tokenizer
 
 
@@ -128,18 +128,36 @@ def test_pages(spark, scratch):
 
 def test_counts_and_pmi_are_those_by_hand():
     texts = ["a b a b 12 c", "b a 7 8", "", "c c c"]
-    b = Batch([np.array(hashed_words(t)[0], dtype=np.int64) for t in texts])
-    counts = b.counts(np.array([True, False, False, False])).set_index("feature")
-    word = lambda w: hashed_words(w)[0][0]
-    assert counts.loc[word("a")].tolist() == [3, 2, 1] and counts.loc[word("c")].tolist() == [4, 2, 1] and counts.loc[0].tolist() == [3, 2, 1]
-    ab = int(Batch.mixed(np.array([word("a")]), np.array([word("b")]))[0])
-    assert counts.loc[ab].tolist() == [2, 1, 1]
-    lexicon = Lexicon(counts.reset_index(), len(b.word), 4, 1)
-    _, pmi = lexicon.score(b)
-    ba = int(Batch.mixed(np.array([word("b")]), np.array([word("a")]))[0])
+    b = Batch.of([hashed_words(t) for t in texts])
+    counts = b.counts().set_index("feature")
+    word = lambda w: hashed_words(w)[0]
+    assert counts.loc[word("a")].tolist() == [3, 2] and counts.loc[word("c")].tolist() == [4, 2] and counts.loc[0].tolist() == [3, 2]
+    ab, ba = (int(Batch.mixed(np.array([word(x)]), np.array([word(y)]))[0]) for x, y in ("ab", "ba"))
+    assert counts.loc[ab].tolist() == [2, 1] and counts.loc[ba].tolist() == [2, 2]
+    assert b.held_by(np.array([True, False, False, False])).set_index("feature").loc[ab].tolist() == [0, 1]
+    shared = counts[counts["df"] >= 2].reset_index()
+    corpus = Corpus(len(b.word), 4, Sorted(shared, "n", "df"), 2)
     n, total = counts["n"], len(b.word)
-    want = np.mean([np.log(n[ab] * total / (n[word("a")] * n[word("b")]))] * 2 + [np.log(n[ba] * total / (n[word("a")] * n[word("b")]))])
-    assert pmi[0] == pytest.approx(want)
+    chance = n[word("a")] * n[word("b")] / total
+    # The pair ab is of this page alone, so it has one smoothed occurrence each time; ba is shared.
+    want = np.mean([-np.log1p(chance)] * 2 + [np.log(n[ba] / chance)])
+    for known, rare in ((corpus, None), (Corpus(len(b.word), 4, Sorted(shared[:0], "n", "df"), 9), shared.assign(df_suspect=0))):
+        assert known.judge(b, Rules(), rare)[1][0] == pytest.approx(want)
+    row = {k: getattr(b, k) for k in Batch._ARRAYS}
+    assert Batch.stored(row).counts().equals(b.counts())
+
+
+def test_without_pmi_nothing_is_found(spark, scratch):
+    """Each of the two uses of PMI finds pages that the others don't."""
+    good, bad = corpus()
+    salad = " ".join(random.Random(3).choices([w for w in NORMAL if w != "{}"] + ["laser", "layer", "sample"], k=60))
+    df = spark.createDataFrame(list(enumerate([*good, *bad, salad])), "doc_id long, text string")
+    found = lambda **kw: {r.doc_id for r in page_scores(df, scratch, Rules(**kw)).where("found").collect()}
+    everything = set(range(len(good), len(good) + len(bad) + 1))
+    assert found() == everything
+    assert found(collocation=np.inf, deviations=np.inf) == set()
+    assert found(deviations=np.inf) == everything - {max(everything)}
+    assert found(collocation=np.inf) < everything
 
 
 def test_pages_stuffed_with_their_own_words(spark, scratch, monkeypatch):
@@ -150,8 +168,8 @@ def test_pages_stuffed_with_their_own_words(spark, scratch, monkeypatch):
     quote = ["kelmo ab trask kelmo cd trask kelmo ef trask kelmo gh trask"]  # of a suspect's words, too short to be suspect itself
     df = spark.createDataFrame(list(enumerate(good + own + shared + quote)), "doc_id long, text string")
     want = set(range(len(good), len(good) + 6))
-    for share in (1e-4, 0.05):
-        monkeypatch.setattr("evispark.llm.spam.SHARE", share)
+    for most in (1_000_000, 40, 0):
+        monkeypatch.setattr("evispark.llm.spam.MOST_LISTED", most)
         assert {r.doc_id for r in page_scores(df, scratch).where("found").collect()} == want
 
 
