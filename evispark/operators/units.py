@@ -1,18 +1,23 @@
 """Problem 7: quantities recorded in different units, told only in text.
 
 Each source_file holds one unit per quantity. What the texts of its rows tell are votes: a quantity with its unit is held
-against the stored number, which then says in which unit it is stored; a column heading names the unit itself. A random
-forest predicts the unit of every row from magnitude, roundness in each unit, neighbouring fields, the file's spread and
-the votes of the file's other rows. It is trained on rows whose unit the texts tell, calibrated on rows held out, and its
-calibrated probabilities are added up over each file. A check follows: where a file's own votes contradict it, they count;
-what it can't tell with confidence and no vote tells goes to review.
+against the stored number, which then says in which unit it is stored; a column heading names the unit itself. Votes are
+labels and an audit, never features. A random forest predicts the unit of every row from magnitude, roundness in each unit,
+category, neighbouring fields and what these are over its file. It is fitted on labelled rows; its probabilities, averaged
+over each file, are calibrated on the labelled files that it was not fitted on, which gives
+
+ * how sure the most likely unit is: confident ones are converted, unless the file's texts tell another,
+ * the units that can't be ruled out (the likeliest and all above a conformal threshold). An uncertain file is sent to review, where the unit
+   that its texts tell is taken if it is one of these. Everything else stays in review, unconverted.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
@@ -153,27 +158,41 @@ def _log(c: Column) -> Column:
     return F.coalesce(F.when((c > 0) & ~F.isnan(c), F.log10(c)), F.lit(-9.0))
 
 
-def _features(q: Quantity, rows: DataFrame, files: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Magnitude, plausibility and roundness in each unit, neighbours, the mean and spread over the file, and the share of
-    votes for each unit among the file's other rows."""
-    joined = rows.join(files, "file", "left")
-    cols = {"f_mag": _log(F.col("x")), "f_near": _log(F.col("near")), "f_power": _log(F.col("power")), "f_layer": _log(F.col("layer"))}
-    others = F.greatest(F.coalesce("votes", F.lit(0)) - F.col("told").isNotNull().cast("int"), F.lit(1))
-    for i, (u, f, _) in enumerate(q.units):
-        own = F.coalesce((F.col("told") == u).cast("int"), F.lit(0))
-        cols[f"f_vote{i}"] = (F.coalesce(f"votes{i}", F.lit(0)) - own) / others
+def _roundness(q: Quantity) -> dict[str, Column]:
+    """How far the value is from a whole and from a multiple of five in each unit, and whether it is plausible in it."""
+    cols = {}
+    for i, (_, f, _) in enumerate(q.units):
         v = F.col("x") * f
-        cols[f"f_round{i}"] = F.coalesce(F.least(F.abs(v - F.round(v)) / F.greatest(v * 2e-4, F.lit(0.02)), F.lit(5.0)), F.lit(5.0))
+        slack = F.greatest(v * 2e-4, F.lit(0.02))
+        cols[f"f_round{i}"] = F.coalesce(F.least(F.abs(v - F.round(v)) / slack, F.lit(5.0)), F.lit(5.0))
+        cols[f"f_five{i}"] = F.coalesce(F.least(F.abs(v - 5 * F.round(v / 5)) / slack, F.lit(5.0)), F.lit(5.0))
         cols[f"f_in{i}"] = F.coalesce(((v >= q.least) & (v <= q.most)).cast("double"), F.lit(0.0))
-    cols["f_mean"] = F.coalesce("mean_log", cols["f_mag"])
-    cols["f_spread"] = F.coalesce("sd_log", F.lit(0.0))
-    cols["f_process"] = F.pmod(F.xxhash64(F.lower(F.coalesce("process", F.lit("")))), F.lit(16)).cast("double")
-    return joined.withColumns(cols), list(cols)
+    return cols
+
+
+def _files(q: Quantity, rows: DataFrame) -> DataFrame:
+    """(file, votes, voted, mean and spread of the magnitude, mean roundness in each unit) of each file."""
+    logs = F.when(F.col("x") > 0, F.log10("x"))
+    means = [F.avg(F.when(F.col("x") > 0, c)).alias(f"m_{n}") for n, c in _roundness(q).items()]
+    votes = rows.where("told is not null").groupBy("file", "told").agg(F.count("*").alias("n"), F.count("x").alias("n_with"))
+    decided = votes.groupBy("file").agg(F.max_by("told", F.struct("n_with", "n", "told")).alias("voted"))
+    stats = rows.groupBy("file").agg(F.avg(logs).alias("m_log"), F.stddev_pop(logs).alias("m_sd"), F.count(logs).alias("m_n"), F.min(logs).alias("m_least"), F.max(logs).alias("m_most"), *means)
+    return stats.join(decided, "file", "left")
+
+
+def _features(q: Quantity, rows: DataFrame, files: DataFrame) -> tuple[DataFrame, list[str]]:
+    own = {"f_mag": _log(F.col("x")), "f_near": _log(F.col("near")), "f_power": _log(F.col("power")), "f_layer": _log(F.col("layer")), **_roundness(q)}
+    own["f_process"] = F.pmod(F.xxhash64(F.lower(F.coalesce("process", F.lit("")))), F.lit(16)).cast("double")
+    shared = [c for c in files.columns if c.startswith("m_")]
+    joined = rows.where("x > 0").join(files.select("file", "voted", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in shared)), "file")
+    return joined.withColumns(own), [*own, *shared]
 
 
-#: Labelled rows that the classifier is fitted on at most, a fifth of them held out to calibrate it.
-MOST_TRAINING = 10_000
-CONFIDENT = 0.9
+#: Labelled rows that the classifier is fitted on at most; the labelled files of one hash in FOLDS calibrate it.
+MOST_TRAINING, FOLDS = 10_000, 5
+#: Least labelled rows of least two units to learn from, how right a converted unit has to be, and the share of files whose
+#: true unit must not be ruled out.
+LEAST_TRAINING, CONFIDENT, KEPT = 50, 0.95, 0.998
 
 
 def _monotone(pairs: list[tuple[float, float, int]]) -> list[tuple[float, float]]:
@@ -185,88 +204,112 @@ def _monotone(pairs: list[tuple[float, float, int]]) -> list[tuple[float, float]
             last = pools.pop()
             pools[-1][1] += last[1]
             pools[-1][2] += last[2]
-    return [(s, (k + 1) / (n + 2)) for s, k, n in pools]
+    return [(s, (k + 0.5) / (n + 1)) for s, k, n in pools]
 
 
-def _classified(q: Quantity, rows: DataFrame, files: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """(file, guess, sure) for files, by the calibrated forest; None when the texts tell too little to learn from."""
-    data, names = _features(q, rows.where("x > 0"), files)
+def _likely(q: Quantity, rows: DataFrame, files: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(file, guess, score, p, voted, held) of files: the likeliest unit, and the mean probability of each unit over the
+    file's rows. held: the forest saw no row of it. None where there is too little to learn from."""
+    data, names = _features(q, rows, files)
     units = [u for u, _, _ in q.units]
     index = F.create_map(*(x for i, u in enumerate(units) for x in (F.lit(u), F.lit(float(i)))))
-    labelled = data.where("told is not null").withColumn("label", index[F.col("told")])
-    sample = labelled.select("label", *names, F.xxhash64("file", "row_hash").alias("h")).orderBy("h").limit(MOST_TRAINING)
-    # Half of the rows learn without votes, as files have them whose texts tell nothing.
-    silent = F.pmod("h", F.lit(2)) == 0
-    sample = scratch.keep(sample.withColumns({c: F.when(silent, 0.0).otherwise(F.col(c)) for c in names if c.startswith("f_vote")}))
+    held = F.pmod(F.xxhash64("file"), F.lit(FOLDS)) == 0
+    labelled = data.where(F.col("told").isNotNull() & ~held).withColumn("label", index[F.col("told")])
+    sample = scratch.keep(labelled.select("label", *names, F.xxhash64("file", "row_hash").alias("h")).orderBy("h").limit(MOST_TRAINING))
     kinds = sample.agg(F.count("*").alias("n"), F.countDistinct("label").alias("k")).first()
-    if kinds.n < 50 or kinds.k < 2:
+    if kinds.n < LEAST_TRAINING or kinds.k < 2:
         return None
     vectors = VectorAssembler(inputCols=names, outputCol="features")
-    held = F.pmod("h", F.lit(5)) == 0
-    forest = RandomForestClassifier(numTrees=24, maxDepth=7, seed=7, labelCol="label", featuresCol="features")
-    model = forest.fit(vectors.transform(sample.where(~held)).coalesce(4))
-    score = F.array_max(vector_to_array("probability"))
-    tested = model.transform(vectors.transform(sample.where(held))).select(
-        (F.floor(score * 20) / 20).alias("s"), (F.col("prediction") == F.col("label")).cast("double").alias("ok")
-    )
-    bins = tested.groupBy("s").agg(F.avg("ok").alias("ok"), F.count("*").alias("n")).orderBy("s").collect()
+    forest = RandomForestClassifier(numTrees=30, maxDepth=9, seed=7, labelCol="label", featuresCol="features")
+    model = forest.fit(vectors.transform(sample).coalesce(4))
+    # A forest knows the classes up to the last label that it saw.
+    p = [F.coalesce(F.get(vector_to_array("probability"), F.lit(i)), F.lit(0.0)) for i in range(len(units))]
+    scored = model.transform(vectors.transform(data)).select("file", "voted", *(c.alias(f"p{i}") for i, c in enumerate(p)))
+    per_file = scored.groupBy("file").agg(F.first("voted").alias("voted"), *(F.avg(f"p{i}").alias(f"p{i}") for i in range(len(units))))
+    each = F.array(*(F.struct(F.col(f"p{i}").alias("p"), F.lit(u).alias("unit")) for i, u in enumerate(units)))
+    best = F.array_max(each)
+    return scratch.keep(per_file.select("file", "voted", held.alias("held"), best["unit"].alias("guess"), best["p"].alias("score"), each.alias("p")))
+
+
+def calibration(likely: DataFrame) -> DataFrame:
+    """(low, n_files, share_right) of the likeliest unit by its score, over the labelled files that were held out."""
+    tested = likely.where("held and voted is not null")
+    return tested.groupBy((F.floor(F.col("score") * 20) / 20).alias("low")).agg(F.count("*").alias("n_files"), F.avg((F.col("guess") == F.col("voted")).cast("double")).alias("share_right"))
+
+
+def _not_ruled_out(likely: DataFrame) -> float:
+    """The probability that all but 1 - KEPT of the true units of held out files reach; 0 with too few files to say."""
+    true = F.array_max(F.transform(F.filter("p", lambda x: x["unit"] == F.col("voted")), lambda x: x["p"]))
+    bins = likely.where("held and voted is not null").groupBy(F.floor(true * 1000).cast("int").alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()
+    under, spare = 0, (1 - KEPT) * (sum(r.n for r in bins) + 1) - 1
+    for r in bins:
+        under += r.n
+        if under > spare:
+            return r.b / 1000
+    return 0.0
+
+
+def _verdicts(q: Quantity, files: DataFrame, likely: DataFrame | None) -> DataFrame:
+    """(file, unit, how, audit) of each file."""
+    none = F.lit(None).cast("string")
+    if likely is None:
+        return files.select("file", none.alias("unit"), F.lit("review").alias("how"), F.when(F.col("voted").isNotNull(), "told").otherwise("silent").alias("audit"))
     sure = F.lit(0.0)
-    for low, share in _monotone([(r.s, r.ok, r.n) for r in bins]):
+    for low, share in _monotone([(r.low, r.share_right, r.n_files) for r in calibration(likely).orderBy("low").collect()]):
         sure = F.when(F.col("score") >= low, share).otherwise(sure)
-    guessed = model.transform(vectors.transform(data)).select("file", "prediction", score.alias("score"))
-    per_file = guessed.groupBy("file", "prediction").agg(F.sum(sure).alias("weight"), F.count("*").alias("n"))
-    totals = per_file.groupBy("file").agg(F.sum("n").alias("of"), F.max_by("prediction", F.struct("weight", -F.col("prediction"))).alias("p"), F.max("weight").alias("w"))
-    name = F.element_at(F.array(*map(F.lit, units)), (F.col("p") + 1).cast("int"))
-    return totals.select("file", name.alias("guess"), (F.col("w") / F.col("of")).alias("sure"))
+    least = _not_ruled_out(likely)
+    confident = F.coalesce(sure >= CONFIDENT, F.lit(False)) & F.coalesce(F.col("voted") == F.col("guess"), F.lit(True))
+    possible = F.exists("p", lambda x: (x["unit"] == F.col("voted")) & (x["p"] >= least) & (x["p"] > 0))
+    possible = F.coalesce((F.col("voted") == F.col("guess")) | possible, F.lit(False))
+    joined = files.select("file", "voted").join(likely.drop("voted"), "file", "left")
+    return joined.select(
+        "file", F.when(confident, F.col("guess")).when(possible, F.col("voted")).alias("unit"),
+        F.when(confident, "learnt").when(possible, "checked").otherwise("review").alias("how"),
+        F.when(F.col("voted").isNull(), "silent").when(F.col("voted") == F.col("guess"), "agrees").otherwise("differs").alias("audit"),
+    )
+
+
+def _rows(q: Quantity, other: str, df: DataFrame, key: str) -> DataFrame:
+    vote = _vote(q)
+    filled = F.col(q.column).isNotNull() & ~F.isnan(q.column)
+    return df.select(
+        key, F.coalesce(file_key(F.col("source_file")), F.concat(F.lit("\0row "), F.col(key).cast("string"))).alias("file"),
+        F.when(filled, F.col(q.column)).alias("x"), F.col(other).alias("near"), F.col("laser_power_w").alias("power"),
+        F.col("layer_thickness_um").alias("layer"), F.col("am_process").alias("process"),
+        F.xxhash64(F.col(key)).alias("row_hash"), "evidence_text",
+    ).withColumn("told", F.when(F.col("evidence_text").isNotNull(), vote("evidence_text", "x"))).drop("evidence_text")
+
+
+def _each(df: DataFrame, scratch: Scratch, key: str, quantities: tuple[Quantity, ...]) -> Iterator[tuple[Quantity, DataFrame, DataFrame, DataFrame | None]]:
+    for q in quantities:
+        other = next((o.column for o in quantities if o is not q), q.column)
+        rows = scratch.keep(_rows(q, other, df, key))
+        files = scratch.keep(_files(q, rows))
+        yield q, rows, files, _likely(q, rows, files, scratch)
 
 
 def common_units(df: DataFrame, scratch: Scratch, key: str = "row_id", quantities: tuple[Quantity, ...] = QUANTITIES) -> DataFrame:
-    """(key, field_name, stored, unit, value_common, how) of every filled (neither null nor NaN) quantity.
+    """(key, field_name, stored, unit, value_common, how, audit) of every filled (neither null nor NaN) quantity.
 
-    how: "learnt" (the classifier, with confidence and no vote against it), "told" (texts of the file, where the classifier
-    is unsure or they contradict it), "review" (neither tells: unit and value_common are null), "assumed" (nothing tells, nothing to learn from: the unit the column names). Rows without source_file form one file
-    per row key. Repeated rows have a row each, extra columns are ignored, an empty table gives an empty result."""
+    how: "learnt" (the forest, confidently, and no text of the file against it), "checked" (the forest is unsure or the texts
+    contradict it; they tell a unit that it doesn't rule out), "review" (unit and value_common are null). audit: whether the
+    file's texts agree with the forest, differ or are silent. With fewer than LEAST_TRAINING labelled rows, or of one unit
+    only, all is review. Rows without source_file form one file per row key. Repeated rows have a row each, extra columns
+    are ignored, an empty table gives an empty result."""
     parts = []
-    for q in quantities:
-        other = next((o.column for o in quantities if o is not q), q.column)
-        vote = _vote(q)
-        filled = F.col(q.column).isNotNull() & ~F.isnan(q.column)
-        rows = scratch.keep(
-            df.select(
-                key, F.coalesce(file_key(F.col("source_file")), F.concat(F.lit("\0row "), F.col(key).cast("string"))).alias("file"),
-                F.when(filled, F.col(q.column)).alias("x"), F.col(other).alias("near"), F.col("laser_power_w").alias("power"),
-                F.col("layer_thickness_um").alias("layer"), F.col("am_process").alias("process"),
-                F.xxhash64(F.col(key)).alias("row_hash"), "evidence_text",
-            ).withColumn("told", F.when(F.col("evidence_text").isNotNull(), vote("evidence_text", "x"))).drop("evidence_text")
-        )
-        votes = rows.where("told is not null").groupBy("file", "told").agg(F.count("*").alias("n"), F.count("x").alias("n_with"))
-        decided = votes.groupBy("file").agg(F.max_by("told", F.struct("n_with", "n", "told")).alias("voted"))
-        files = scratch.keep(
-            rows.groupBy("file")
-            .agg(
-                F.avg(F.when(F.col("x") > 0, F.log10("x"))).alias("mean_log"), F.stddev_pop(F.when(F.col("x") > 0, F.log10("x"))).alias("sd_log"),
-                F.count("told").alias("votes"), *(F.count_if(F.col("told") == u).alias(f"votes{i}") for i, (u, _, _) in enumerate(q.units)),
-            )
-            .join(decided, "file", "left")
-        )
-        guessed = _classified(q, rows, files.drop("voted"), scratch)
-        base = q.units[0][0]
-        if guessed is None:
-            verdict = files.select("file", F.coalesce("voted", F.lit(base)).alias("unit"), F.when(F.col("voted").isNotNull(), "told").otherwise("assumed").alias("how"))
-        else:
-            learnt = F.coalesce(F.col("sure") >= CONFIDENT, F.lit(False)) & F.coalesce(F.col("voted") == F.col("guess"), F.lit(True))
-            verdict = files.join(guessed, "file", "left").select(
-                "file",
-                F.when(learnt, F.col("guess")).otherwise(F.col("voted")).alias("unit"),
-                F.when(learnt, "learnt").when(F.col("voted").isNotNull(), "told").otherwise("review").alias("how"),
-            )
+    for q, rows, files, likely in _each(df, scratch, key, quantities):
         factor = F.create_map(*(x for u, f, _ in q.units for x in (F.lit(u), F.lit(f))))
         parts.append(
-            rows.where("x is not null").join(verdict, "file")
+            rows.where("x is not null").join(_verdicts(q, files, likely), "file")
             .select(key, F.lit(q.column).alias("field_name"), F.col("x").alias("stored"), "unit",
-                    F.round(F.col("x") * factor[F.col("unit")]).cast("bigint").alias("value_common"), "how")
+                    F.round(F.col("x") * factor[F.col("unit")]).cast("bigint").alias("value_common"), "how", "audit")
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    return reduce(DataFrame.unionAll, parts)
+
+
+def unit_calibration(df: DataFrame, scratch: Scratch, key: str = "row_id", quantities: tuple[Quantity, ...] = QUANTITIES) -> DataFrame:
+    """(field_name, low, n_files, share_right): how often the likeliest unit is the told one, by its score, over files that
+    the forest was not fitted on."""
+    parts = [calibration(likely).select(F.lit(q.column).alias("field_name"), "*") for q, _, _, likely in _each(df, scratch, key, quantities) if likely is not None]
+    empty = df.sparkSession.createDataFrame([], "field_name string, low double, n_files bigint, share_right double")
+    return reduce(DataFrame.unionAll, parts, empty)

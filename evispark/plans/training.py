@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.operators.packed import unpack
-from evispark.operators.units import QUANTITIES, common_units
+from evispark.operators.units import QUANTITIES, common_units, unit_calibration
 from evispark.session import Scratch, read
 
 
@@ -22,10 +22,15 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Filled quantities by unit and by how the unit was found, review included."""
+    """Filled quantities by unit, how the unit was found and what the files' texts say to it, review included."""
     done = common_units(read(spark, sf, "extraction_records"), Scratch(spark))
-    return done.groupBy("field_name", "unit", "how").agg(F.count("*").alias("n_rows"))
+    return done.groupBy("field_name", "unit", "how", "audit").agg(F.count("*").alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_report)}
+def p7_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the classifier is right on files that it was not fitted on, by its score."""
+    return unit_calibration(read(spark, sf, "extraction_records"), Scratch(spark))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_report, p7_calibration)}
 SQL: dict[str, str] = {}

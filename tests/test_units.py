@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from evispark.operators.units import HATCH, SPEED, common_units, file_key, told
+from evispark.operators.units import HATCH, SPEED, common_units, file_key, told, unit_calibration
 
 COLUMNS = "row_id long, source_file string, hatch_spacing_um double, scan_speed_mm_s double, laser_power_w double, layer_thickness_um double, am_process string, evidence_text string, unit string"
 
@@ -52,8 +52,21 @@ def test_edges(spark, scratch):
         (3, None, 100.0, 900.0, None, None, None, None, None), (3, None, 100.0, 900.0, None, None, None, None, None), (4, "b.pdf", float("nan"), 0.0, None, None, None, "x" * 100_000, None),
     ]
     got = {(r.row_id, r.field_name): (r.unit, r.value_common) for r in common_units(spark.createDataFrame(rows, COLUMNS), scratch).collect()}
-    assert got[1, "hatch_spacing_um"] == ("mm", 100) and got[2, "hatch_spacing_um"] == ("mm", 120)
-    assert got[3, "hatch_spacing_um"] == ("um", 100) and (2, "scan_speed_mm_s") not in got and (4, "hatch_spacing_um") not in got
+    assert got[1, "hatch_spacing_um"] == got[2, "hatch_spacing_um"] == got[3, "hatch_spacing_um"] == (None, None)  # too little to learn from
+    assert (2, "scan_speed_mm_s") not in got and (4, "hatch_spacing_um") not in got
     assert common_units(spark.createDataFrame([], COLUMNS), scratch).count() == 0
     key = spark.createDataFrame([(" data\\raw\\X.pdf.PDF ",), ("",), (None,)], "f string").select(file_key(F.col("f")).alias("k")).collect()
     assert [r.k for r in key] == ["x.pdf", None, None]
+
+
+def test_the_forest_decides(spark, scratch, monkeypatch):
+    """Without it nothing is converted; files whose texts tell nothing are converted by it; texts only audit it."""
+    df = spark.createDataFrame(made(2, lambda file: 0.0 if file % 3 == 0 else 0.6), COLUMNS)
+    done = common_units(df, scratch).where("field_name = 'hatch_spacing_um'").cache()
+    by = {(r.how, r.audit): r.n for r in done.groupBy("how", "audit").agg(F.count("*").alias("n")).collect()}
+    assert by.get(("learnt", "silent"), 0) > 400 and by.get(("learnt", "agrees"), 0) > 800
+    assert not any(how == "learnt" and audit == "differs" for how, audit in by)
+    bins = unit_calibration(df, scratch).where("field_name = 'hatch_spacing_um'").collect()
+    assert sum(r.n_files for r in bins) > 20 and all(0 <= r.share_right <= 1 for r in bins)
+    monkeypatch.setattr("evispark.operators.units._likely", lambda *a: None)
+    assert {(r.unit, r.how) for r in common_units(df, scratch).collect()} == {(None, "review")}
