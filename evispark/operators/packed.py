@@ -1,10 +1,10 @@
 """Problem 6: several values packed in one field.
 
-A dialect is a list layout (plain, marked entries such as "1)" or bullets, lines) and the set of separators that divide a
-plain field. Every field is parsed in each dialect whose signs it holds; the parse with the least description length
-wins: the code lengths of its values, -log2 of the share of their shape among all values, plus the cost of naming the
-dialect. Shapes are counted over the whole table: first over fields that have one parse only, then once more over the
-parses chosen so. Brackets and quotes are never divided.
+A dialect is a marked list (entries such as "1)" or bullets) or the set of separators that divide a plain field. Every
+field is parsed in each dialect whose signs it holds; the parse with the least description length wins: the code lengths of
+its values, -log2 of the share of their shape among all values, plus the cost of naming the dialect. Shapes are counted over
+the whole table: first over marked lists and fields that have one parse only, then once more over the parses chosen so.
+Brackets and quotes are never divided.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import md5
 from itertools import combinations
 
 import pandas as pd
@@ -56,7 +58,7 @@ _MARKS = {
 _BULLET = re.compile(r"(?:^|(?<=[\r\n]))[ \t]*(?:[-*•·–—▪◦‣●]|\+)[ \t]+")
 _OPEN, _CLOSE = "([{", ")]}"
 _TRIM = " \t\r\n\v\f" + _SPACE
-#: So many free signs are tried in all combinations; of more, those that divide least are fixed.
+#: So many free signs are tried in all combinations; of more, one after the other is taken while that shortens the code.
 MOST_SEPARATORS = 9
 
 
@@ -138,90 +140,123 @@ def shape(value: str) -> str:
     return re.sub(r"\s+", " ", v).strip()
 
 
-def parses(text: str) -> list[tuple[float, list[str]]]:
-    """(bits to name the dialect, values) of each dialect that divides the field otherwise than the others."""
+class _Plain:
+    """A field's plain text: its separators present and the values that a choice of them gives."""
+
+    def __init__(self, text: str):
+        hidden = _guarded(text)
+        self.text = text
+        self.spots = {k: tuple(m.span() for m in p.finditer(hidden) if m.end() > m.start()) for k, p in _SEPARATOR.items()}
+        ends = len(hidden) - len(hidden.lstrip(_TRIM)), len(hidden.rstrip(_TRIM))
+        self.present, starts = [], set()
+        for k, at in self.spots.items():
+            inner = frozenset(a for a, b in at if b > ends[0] and a < ends[1])
+            if inner and frozenset(b for _, b in at) not in starts:
+                starts.add(frozenset(b for _, b in at))
+                self.present.append(k)
+        # Line ends always divide; other signs may as well.
+        self.always = ["line"] if "line" in self.present else []
+        self.free = [k for k in self.present if k != "line"]
+
+    def values(self, some: Iterable[str]) -> tuple[tuple[str, ...], float]:
+        """(values, bits to name the dialect) of a choice of free separators."""
+        spans = sorted({x for k in (*self.always, *some) for x in self.spots[k]})
+        merged: list[tuple[int, int]] = []
+        for a, b in spans:
+            if merged and a < merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        return tuple(v for v in map(_clean, _cut(self.text, merged)) if v), sum(_PRICE.get(k, 2.0) for k in some)
+
+    def parses(self) -> Iterator[tuple[tuple[str, ...], float]]:
+        for n in range(len(self.free) + 1):
+            for some in combinations(self.free, n):
+                yield self.values(some)
+
+    def shortest(self, cost) -> tuple[tuple[str, ...], float]:
+        """Separators taken one by one while that shortens the code: for fields with too many kinds for all choices."""
+        some: list[str] = []
+        best = self.values(some)
+        while True:
+            near = [(cost(*(p := self.values([*some, k]))), k, p) for k in self.free if k not in some]
+            if not near or min(near)[0] >= cost(*best):
+                return best
+            _, k, best = min(near)
+            some.append(k)
+
+
+def _listed(text: str) -> list[str]:
+    """The values of the entries of a marked list; none where the field isn't one."""
+    marked = _marked(text)
+    return [v for v in map(_clean, marked[1]) if v] if marked else []
+
+
+def parses(text: str, cost=None) -> list[tuple[float, list[str]]]:
+    """(bits to name the dialect, values) of each dialect that divides the field otherwise than the others: the marked list,
+    and each choice of separators. Fields with over MOST_SEPARATORS kinds of them have the one of least cost."""
     if text is None or not text.strip(_TRIM):
         return []
-    marked = _marked(text)
-    if marked:
-        values = [v for v in map(_clean, marked[1]) if v]
-        return [(1.0, values)]
-    hidden = _guarded(text)
-    spots = {k: tuple(m.span() for m in p.finditer(hidden) if m.end() > m.start()) for k, p in _SEPARATOR.items()}
-    ends = len(hidden) - len(hidden.lstrip(_TRIM)), len(hidden.rstrip(_TRIM))
-    present, starts = [], set()
-    for k, at in spots.items():
-        inner = frozenset(a for a, b in at if b > ends[0] and a < ends[1])
-        if inner and frozenset(b for _, b in at) not in starts:
-            starts.add(frozenset(b for _, b in at))
-            present.append(k)
-    if "line" in present:
-        # Line ends always divide; other signs may as well.
-        always, free = ["line"], [k for k in present if k != "line"]
-    else:
-        always, free = [], present
-    if len(free) > MOST_SEPARATORS:
-        free.sort(key=lambda k: len(spots[k]))
-        always, free = always + free[: len(free) - MOST_SEPARATORS], free[len(free) - MOST_SEPARATORS :]
     found: dict[tuple[str, ...], float] = {}
-    for n in range(len(free) + 1):
-        for some in combinations(free, n):
-            chosen = always + list(some)
-            spans = sorted({x for k in chosen for x in spots[k]})
-            merged: list[tuple[int, int]] = []
-            for a, b in spans:
-                if merged and a < merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-                else:
-                    merged.append((a, b))
-            values = tuple(v for v in map(_clean, _cut(text, merged)) if v)
-            bits = sum(_PRICE.get(k, 2.0) for k in some)
-            if values and bits < found.get(values, math.inf):
-                found[values] = bits
+    if entries := tuple(_listed(text)):
+        found[entries] = 1.0
+    plain = _Plain(text)
+    if len(plain.free) <= MOST_SEPARATORS:
+        each = plain.parses()
+    else:
+        each = [plain.values(()), plain.shortest(cost or (lambda values, bits: bits - len(values)))]
+    for values, bits in each:
+        if values and bits < found.get(values, math.inf):
+            found[values] = bits
     return [(b, list(v)) for v, b in found.items()]
 
 
+def _key(shape: str) -> str:
+    """The shape as it stands in the code book; long ones by a hash, so that an entry is of bounded size."""
+    return shape if len(shape) <= 64 else f"{len(shape)}:{md5(shape.encode()).hexdigest()}"
+
+
 def _bits(value: str, known: dict[str, int], total: int) -> float:
     s = shape(value)
-    n = known.get(s, 0)
+    n = known.get(_key(s), 0)
     if n:
         return -math.log2(n / total)
     return math.log2(total + 1) + 3.0 + 1.5 * len(s)
 
 
 def _shapes(fields: DataFrame, column: str, known: dict[str, int] | None, total: int) -> DataFrame:
-    """(shape, n): values of fields with one parse, or of the best parses once some shapes are known."""
+    """(shape, n): values of fields with one parse and of marked lists, or of the best parses once some shapes are known."""
 
     @F.pandas_udf("array<string>")
     def seen(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [shape(v) for v in (_best(t, known, total) if known else _only(t))])
+        return s.map(lambda t: [_key(shape(v)) for v in (_best(t, known, total) if known else _only(t))])
 
-    return (
-        fields.select(F.explode(seen(column)).alias("shape"), "n").groupBy("shape").agg(F.sum("n").alias("n"))
-        .where("length(shape) <= 200")
-    )
+    return fields.select(F.explode(seen(column)).alias("shape"), "n").groupBy("shape").agg(F.sum("n").alias("n"))
 
 
 def _only(text: str) -> list[str]:
     p = parses(text)
-    return p[0][1] if len(p) == 1 else []
+    if len(p) == 1:
+        return p[0][1]
+    entries = _listed(text or "")
+    return entries if len(entries) > 1 else []
 
 
 def _best(text: str, known: dict[str, int], total: int) -> list[str]:
-    found = parses(text)
-    if len(found) < 2:
-        return found[0][1] if found else []
     code: dict[str, float] = {}
-    choice, least = [], math.inf
-    for bits, values in found:
-        cost = bits
+
+    def cost(values: Iterable[str], bits: float) -> float:
         for v in values:
             if v not in code:
                 code[v] = _bits(v, known, total)
-            cost += code[v]
-        if cost < least:
-            choice, least = values, cost
-    return choice if all(shape(v) in known for v in choice) else _joined(text, choice, known)
+            bits += code[v]
+        return bits
+
+    found = parses(text, cost)
+    if len(found) < 2:
+        return found[0][1] if found else []
+    choice = min(found, key=lambda p: cost(p[1], p[0]))[1]
+    return choice if all(_key(shape(v)) in known for v in choice) else _joined(text, choice, known)
 
 
 def _joined(text: str, values: list[str], known: dict[str, int]) -> list[str]:
@@ -237,20 +272,22 @@ def _joined(text: str, values: list[str], known: dict[str, int]) -> list[str]:
     out, i = [], 0
     while i < len(values):
         j = i + 1
-        if shape(values[i]) not in known:
-            j = next((k for k in (i + 2, i + 3) if k <= len(values) and shape(text[spans[i][0] : spans[k - 1][1]]) in known), j)
+        if _key(shape(values[i])) not in known:
+            j = next((k for k in (i + 2, i + 3) if k <= len(values) and _key(shape(text[spans[i][0] : spans[k - 1][1]])) in known), j)
         out.append(text[spans[i][0] : spans[j - 1][1]] if j > i + 1 else values[i])
         i = j
     return out
 
 
-#: Shapes kept as the code book, by count; the others are spelt out. A bound for what is broadcast.
-MOST_SHAPES = 50_000
+#: The part of all values that a shape needs to be in the code book (and two values at least); the others are spelt out.
+#: So the book has at most 1 / LEAST_SHARE entries, however large the table is, and equal shares give an equal book.
+LEAST_SHARE = 2e-6
 
 
 def _book(shapes: DataFrame) -> tuple[dict[str, int], int]:
-    rows = shapes.where("n >= 2").orderBy(F.desc("n"), "shape").limit(MOST_SHAPES).collect()
-    return {r["shape"]: r["n"] for r in rows}, max(1, sum(r["n"] for r in rows))
+    total = shapes.agg(F.sum("n")).first()[0] or 0
+    rows = shapes.where(F.col("n") >= max(2.0, LEAST_SHARE * total)).collect()
+    return {r["shape"]: r["n"] for r in rows}, max(1, total)
 
 
 def unpack(df: DataFrame, column: str, scratch: Scratch, key: str = "row_id") -> DataFrame:
@@ -260,9 +297,9 @@ def unpack(df: DataFrame, column: str, scratch: Scratch, key: str = "row_id") ->
     repeated rows are unpacked each. The shapes are counted over all distinct fields with their frequency."""
     text = F.col(column)
     fields = scratch.keep(df.where(text.isNotNull()).groupBy(text.alias("packed")).agg(F.count("*").alias("n")))
-    known, total = _book(_shapes(fields, "packed", None, 1))
+    known, total = _book(scratch.keep(_shapes(fields, "packed", None, 1)))
     if known:
-        known, total = _book(_shapes(fields, "packed", known, total))
+        known, total = _book(scratch.keep(_shapes(fields, "packed", known, total)))
     given = df.sparkSession.sparkContext.broadcast((known, total))
 
     @F.pandas_udf("array<string>")

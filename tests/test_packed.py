@@ -63,3 +63,28 @@ def test_the_cheapest_parse_is_chosen():
         best = P._best(text, known, total)
         assert sum(P._bits(x, known, total) for x in best) <= min(cost.values())
         assert all(P.shape(x) in known for x in best)
+
+
+def test_marked_lists_are_weighed_like_other_dialects(spark, scratch):
+    """A mark opens a list only if that is the shorter code; one-line bullets divide too."""
+    found = run(spark, scratch, ["- grinding; chemical etching", "• grinding • chemical etching • grinding", "1) grinding; 2) chemical etching", "- grinding\n- chemical etching\n- grinding"])
+    assert found[0][-1] == "chemical etching" and len(found[0]) == 2
+    assert found[1] == ["grinding", "chemical etching", "grinding"]
+    assert found[2] == ["grinding", "chemical etching"]
+    assert found[3] == ["grinding", "chemical etching", "grinding"]
+
+
+def test_many_kinds_of_separators(spark, scratch):
+    signs = ["; ", " | ", " -> ", " / ", " + ", " & ", ", ", " · ", " - ", "  ", " and ", "\t"]
+    text = "".join(TRAINING[1] + s for s in signs) + TRAINING[6]
+    found = run(spark, scratch, [text])
+    assert found[0] == [TRAINING[1]] * len(signs) + [TRAINING[6]]
+
+
+def test_the_book_is_alike_at_every_size(spark, scratch):
+    """Shapes enter the code book by their share; long ones are kept by a hash."""
+    long = "laser peening with a very long description of everything that was done to the part before and after"
+    for times in (1, 40):
+        rows = [(f"{t}", 10 * times) for t in TRAINING] + [(long, 10 * times)]
+        book, total = P._book(spark.createDataFrame([(P._key(P.shape(t)), n) for t, n in rows], "shape string, n long"))
+        assert len(book) == 8 and total == 80 * times and all(len(k) < 70 for k in book)
