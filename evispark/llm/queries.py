@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evispark.llm.canonical import canonicalise
 from evispark.llm.capping import cap_contributors
 from evispark.llm.overlaps import split_overlaps
-from evispark.llm.packing import pack_documents, unused_space
+from evispark.llm.packing import conflicts, pack_documents, unused_space
 from evispark.llm.publications import publication_splits, publications, same_publication_pairs
 from evispark.llm.results import result_groups, with_publication
 from evispark.llm.spam import page_scores
@@ -131,6 +131,11 @@ def p9_unused(spark: SparkSession, sf: str) -> DataFrame:
     return unused_space(_packed(spark, sf))
 
 
+def p9_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that share a container with another of the same text or source, by capacity."""
+    return conflicts(_packed(spark, sf), read(spark, sf, "documents"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return page_scores(read(spark, sf, "documents"), Scratch(spark)).where("found").select("doc_id")
 
@@ -148,8 +153,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_splits, p2_found, p2_by_period, p2_even_by_test, p3_found, p3_report, p4_found, p4_report, p5_found,
-        p5_survivors, p8_ids, p9_containers, p9_unused, p10_found,
-        p10_report,
+        p5_survivors, p8_ids, p9_containers, p9_unused, p9_conflicts,
+        p10_found, p10_report,
     )
 }
 

@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evispark.llm.packing import best_fit, pack_bucket, pack_documents, unused_space
+from evispark.llm.packing import best_fit, conflicts, pack_bucket, pack_documents, unused_space
+from evispark.llm.queries import QUERIES
 from evispark.llm.spam import Batch, Corpus, Rules, Sorted, hashed_words, page_scores
 from evispark.llm.tokens import PATTERN, TOKENIZERS, encoded, tokenizer
 
@@ -66,29 +67,46 @@ def test_containers(capacity):
         assert pieces["n_tokens"].sum() == size[d] and (len(pieces) == 1) == (size[d] <= capacity)
         assert pieces["first_token"].tolist() == np.r_[0, pieces["n_tokens"].cumsum()[:-1]].tolist()
     assert out[out["doc_id"] < 60].groupby("container").size().max() == 1  # copies apart
+    # No more of a source in a container than its shares of half the containers that are needed.
+    last = out.sort_values("piece").groupby("doc_id").tail(1)
+    fewest = -(-last["n_tokens"].sum() // capacity)
+    last = last[last["n_tokens"] > 0].merge(items[["doc_id", "source"]])
+    shares = -(-last.groupby("source").size() // (fewest // 2))
+    most = last.groupby(["container", "source"]).size().groupby("source").max()
+    assert (most <= shares).all()
+
+
+def test_more_copies_than_containers():
+    """A third of all rows is one text: every container gets its copies as evenly as it can."""
+    items = bucket(900, 2)
+    items.loc[:299, ["cluster", "n"]] = (7, 100)
+    out = pack_bucket(items, 2048)
+    per = out[out["doc_id"] < 300].groupby("container").size()
+    fewest = -(-out["n_tokens"].sum() // 2048)
+    assert per.max() <= -(-300 // fewest) + 1
+    used = out.groupby("container")["n_tokens"].sum()
+    assert 1 - used.sum() / (len(used) * 2048) < 0.05
 
 
 def test_best_fit_is_the_tightest_compatible():
     rng = random.Random(3)
-    sizes = sorted((rng.randint(0, 60) for _ in range(200)), reverse=True)
+    sizes = sorted((rng.randint(1, 60) for _ in range(200)), reverse=True)
     clusters = [1 << rng.randint(0, 3) if rng.random() < 0.3 else 0 for _ in sizes]
-    got = best_fit(sizes, clusters, [1] * 200, 100)
-    left, held = [], []
-    for size, cluster, b in zip(sizes, clusters, got):
-        fits = [left[i] for i in range(len(left)) if left[i] >= size and not (size and held[i] & cluster)]
+    sources = [1 << rng.randint(0, 30) if rng.random() < 0.6 else 0 for _ in sizes]
+    got = best_fit(sizes, clusters, sources, 100)
+    left, held, of = [], [], []
+    for size, cluster, source, b in zip(sizes, clusters, sources, got):
+        fits = [left[i] for i in range(len(left)) if left[i] >= size and not held[i] & cluster and not of[i] & source]
         if b == len(left):
             assert not fits
             left.append(100)
             held.append(0)
+            of.append(0)
         else:
-            assert left[b] == min(fits)
+            assert left[b] == min(fits) and not held[b] & cluster and not of[b] & source
         left[b] -= size
-        held[b] |= cluster if size else 0
-    apart = best_fit([10] * 40, [0] * 40, [1 << (i % 4) for i in range(40)], 100, apart=True)
-    by = defaultdict(list)
-    for i, b in enumerate(apart):
-        by[b].append(i % 4)
-    assert all(len(v) == len(set(v)) for v in by.values())
+        held[b] |= cluster
+        of[b] |= source
 
 
 def test_packing_in_spark(spark, scratch):
@@ -100,6 +118,20 @@ def test_packing_in_spark(spark, scratch):
     assert pack_documents(docs.limit(0), specs, scratch).count() == 0
     assert pack_documents(docs, specs.limit(0), scratch).count() == 0
     assert unused_space(pack_documents(docs, specs, scratch)).count() == 1
+    met = {r.what: (r.n_meetings, r.most) for r in conflicts(pack_documents(docs, specs, scratch), docs).collect()}
+    assert met == {"text": (0, 1), "source": (1, 2)} or met == {"text": (0, 1), "source": (0, 1)}
+
+
+def test_little_is_left_unused(spark, scratch):
+    """The registered queries on the whole smaller tables: every document once in full, little space left."""
+    sf = "/root/testdata/sf0.01"
+    out = QUERIES["p9_containers"](spark, sf).cache()
+    sized = {r.doc_id: r.n for r in QUERIES["p8_ids"](spark, sf).select("doc_id", F.size("ids").alias("n")).collect()}
+    for spec in (r.spec_id for r in out.select("spec_id").distinct().collect()):
+        assert {r.doc_id: r.n for r in out.where(F.col("spec_id") == spec).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()} == sized
+    assert out.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("n"), F.first("capacity_tokens").alias("c")).where("n > c").count() == 0
+    assert all(r.unused_share < (0.005 if r.capacity_tokens < 8000 else 0.03) for r in unused_space(out).collect())
+    assert all(r.n_meetings == 0 for r in conflicts(out, spark.read.parquet(f"{sf}/documents.parquet")).where("what = 'text' and capacity_tokens < 1000").collect())
 
 
 NORMAL = "the fatigue strength of the welded bar was lower than that of the plate after {} cycles because a pore near the edge started the crack and the {} specimen failed".split()
@@ -143,8 +175,7 @@ def test_counts_and_pmi_are_those_by_hand():
     want = np.mean([-np.log1p(chance)] * 2 + [np.log(n[ba] / chance)])
     for known, rare in ((corpus, None), (Corpus(len(b.word), 4, Sorted(shared[:0], "n", "df"), 9), shared.assign(df_suspect=0))):
         assert known.judge(b, Rules(), rare)[1][0] == pytest.approx(want)
-    row = {k: getattr(b, k) for k in Batch._ARRAYS}
-    assert Batch.stored(row).counts().equals(b.counts())
+    assert Batch.stored(b.store()).counts().equals(b.counts())
 
 
 def test_without_pmi_nothing_is_found(spark, scratch):
