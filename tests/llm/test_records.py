@@ -85,6 +85,7 @@ def test_canonical_values(spark, scratch):
         "Ti-6Al-4V": 1, "ti 6al 4v": 1, '"Ti64"': 1, "Ti64 [12]": 1, "approx. Ti64": 1, "aprpox. Ti64": 1, "TiAl6V4": 1, "TiAl6V4 (Ti-6Al-4V)": 1, "Inconell 718": 2, "Inconel 713": 0, "Inocnel‐718 *": 2,
         "(Inconel 718)": 2, "n/a": 0, "?": 0, "Tungsten": 0, "x" * 5000: 0, "IN-718 (nominal)": 2,
     }
+    given |= {"over-rolled In718": 2, "In718 Ti64": 0, "In718 with 5 % copper": 0, "Inconel 939": 0}
     rows = [(i, v, None, "mach. & polished" if i == 0 else "machined + polished" if i == 1 else "Shot peneed" if i == 2 else " ", "", None, 0) for i, v in enumerate(given)]
     rows += [(100 + i, "TiAl6V4 (Ti-6Al-4V)", None, "Shot peened", None, None, 0) for i in range(30)] + [(200 + i, "Inconel 718", None, None, None, None, 0) for i in range(30)] + [(5, None, None, None, None, None, 0)]
     out = canonicalise(spark.createDataFrame(rows, FIELDS), spark.createDataFrame(LIST, TERMS), scratch).collect()
@@ -97,6 +98,15 @@ def test_canonical_values(spark, scratch):
     assert {r.term_id for r in canonicalise(spark.createDataFrame(rows, FIELDS), spark.createDataFrame([], TERMS), scratch).collect()} == {0}
 
 
+def test_forms_that_the_list_implies(spark, scratch):
+    """Grades in Roman digits, element names, and short names that two entries of the list have."""
+    terms = [*LIST, (5, "alloy", "Inconel 625", "IN625", "v"), (6, "alloy", "Inconel 939", None, "v"), (7, "alloy", "CuCrZr", None, "v"), (8, "alloy", "CP titanium grade 2", "cp-Ti Gr.2", "v")]
+    given = {"IN939": 6, "IN-939": 6, "copper chromium zirconium": 7, "cp-ti gr.II": 8, "CP titanium grade III": 0, "copper": 0}
+    df = spark.createDataFrame([(i, v, None, None, None, None, 0) for i, v in enumerate(given)], FIELDS)
+    got = {r.value: r.term_id for r in canonicalise(df.drop("value", "term_id"), spark.createDataFrame(terms, TERMS), scratch).collect()}
+    assert got == given
+
+
 def test_misspellings_are_weighed_by_sources_and_entries(spark, scratch):
     """One source that repeats its misspelling hides none, and an entry counts in all its forms."""
     rows = [(i, "Inconell 718", "big") for i in range(50)] + [(100 + i, "IN718", f"s{i}") for i in range(10)] + [(200 + i, "Inconel 719a", f"s{i}") for i in range(5)]
