@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evispark.plans import registry, training
 
-MODULES = ("fields", "selecting", "measuring", "modelling", "remaining")
+MODULES = ("fields", "selecting", "measuring", "modelling", "remaining", "evidence", "stores")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

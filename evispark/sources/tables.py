@@ -101,8 +101,16 @@ def skip_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(t.alias("stem")).where((t != "") & ~t.startswith("#")).select(F.regexp_replace("stem", r"(?i)\.pdf$", "").alias("stem")).distinct()
 
 
+def _moved(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def replace_table(df: DataFrame, path: str, keep_old: bool = True) -> str | None:
-    """Writes beside the table, then swaps: readers see the old or the new one. Returns where the old one is kept."""
+    """Writes beside the table, then swaps by two renames. Returns where the old table is kept.
+
+    A reader that looks between the two finds no table and has to look again; it never finds a part of one. If the second
+    rename fails, the old table is put back."""
     spark = df.sparkSession
     staged = f"{path}.new-{uuid.uuid4().hex}"
     df.write.parquet(staged)
@@ -110,14 +118,66 @@ def replace_table(df: DataFrame, path: str, keep_old: bool = True) -> str | None
     archived = None
     if fs.exists(target):
         archived = f"{path}.old-{uuid.uuid4().hex}"
-        fs.rename(target, _path(spark, archived)[0])
-    fs.rename(_path(spark, staged)[0], target)
+        _moved(fs, target, _path(spark, archived)[0])
+    try:
+        _moved(fs, _path(spark, staged)[0], target)
+    except Exception:
+        if archived:
+            _moved(fs, _path(spark, archived)[0], target)
+        raise
     if archived and not keep_old:
         fs.delete(_path(spark, archived)[0], True)
         archived = None
     return archived
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """One CSV file for people to open: for reports of bounded size, not for tables."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def export_csv(df: DataFrame, path: str, parts: int | None = 1) -> None:
+    """CSV for people to open: one file, for reports of bounded size; parts=None leaves the files as the tasks write them."""
+    out = df if parts is None else df.coalesce(parts)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def archive(spark: SparkSession, root: str, to: str, names: list[str]) -> DataFrame:
+    """(name, n_files, length, modified, archived_to) of what was moved from a folder into its archive.
+
+    Names must stay inside the folder; what isn't there is left out."""
+    done = []
+    for name in names:
+        if name.startswith("/") or ".." in name.split("/"):
+            raise ValueError(f"{name} is outside {root}")
+        source, fs = _path(spark, f"{root}/{name}")
+        if not fs.exists(source):
+            continue
+        size = fs.getContentSummary(source)
+        # Hidden files are the writers' own.
+        files = [f for f in (fs.listStatus(source) if fs.getFileStatus(source).isDirectory() else [fs.getFileStatus(source)]) if not f.getPath().getName().startswith(("_", "."))]
+        modified = max((f.getModificationTime() for f in files), default=0)
+        target = _path(spark, f"{to}/{name}")[0]
+        fs.mkdirs(target.getParent())
+        _moved(fs, source, target)
+        done.append((name, len(files), size.getLength(), modified, f"{to}/{name}"))
+    return spark.createDataFrame(done, "name string, n_files int, length bigint, modified bigint, archived_to string")
+
+
+def append_ledger(df: DataFrame, path: str) -> None:
+    """Rows added to a ledger of JSON lines; what is there is never rewritten."""
+    df.write.mode("append").json(path)
+
+
+def registry_key(*parts: str) -> str:
+    """The parts of a model's name as one path-safe key."""
+    return "__".join("".join(c if c.isalnum() else "_" for c in p.strip().lower()) for p in parts)
+
+
+def store_artifact(df: DataFrame, store: str, key: str, replace: bool = False) -> None:
+    """A table under its key; a key that is there is an error unless replaced."""
+    path = f"{store}/{key}"
+    if exists(df.sparkSession, path) and not replace:
+        raise ValueError(f"{key} is stored already")
+    replace_table(df, path, keep_old=False)
+
+
+def load_artifact(spark: SparkSession, store: str, key: str) -> DataFrame:
+    if not exists(spark, f"{store}/{key}"):
+        raise FileNotFoundError(f"{key} isn't in {store}")
+    return spark.read.parquet(f"{store}/{key}")
