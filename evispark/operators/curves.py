@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evispark.session import Scratch
+
 #: Least rows of a curve by level: whole, family, family and ratio bin.
 LEAST_ROWS = {"global": 100, "family": 50, "family_ratio": 30}
 
@@ -33,11 +36,20 @@ def hierarchical_curves(df: DataFrame, family: str, ratio: str, x: Column, y: Co
     )
 
 
-def monotone(df: DataFrame, keys: list[str], order: str, value: str, falling: bool = True, slack: float = 1e-12) -> DataFrame:
-    """(keys, n, monotone): whether values never rise (or never fall) in the given order."""
-    step = F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(order))
+def monotone(df: DataFrame, keys: list[str], order: str, value: str, scratch: Scratch, falling: bool = True, slack: float = 1e-12) -> DataFrame:
+    """(keys, n, monotone): whether values never rise (or never fall) in the given order, whose values are unique in a key.
+
+    Each row is joined to the one before it by their places, which come from ranges: no window holds a group."""
+    from evispark.operators.selection import ranked
+
+    placed = scratch.keep(ranked(df.select(*keys, order, value), keys, [order], scratch))
+    before = placed.select(*(F.col(k).alias(f"_of_{k}") for k in keys), (F.col("_i") + 1).alias("_at"), F.col(value).alias("_before"))
+    same = F.col("_i") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    step = F.col(value) - F.col("_before")
     bad = (step > slack) if falling else (step < -slack)
-    return df.withColumn("_bad", bad).groupBy(*keys).agg(F.count("*").alias("n"), (~F.coalesce(F.bool_or("_bad"), F.lit(False))).alias("monotone"))
+    return placed.join(before, same, "left").withColumn("_bad", bad).groupBy(*keys).agg(F.count("*").alias("n"), (~F.coalesce(F.bool_or("_bad"), F.lit(False))).alias("monotone"))
 
 
 def stress_scan(curves: DataFrame, low: float, high: float, points: int = 50) -> DataFrame:
@@ -88,19 +100,21 @@ def threshold_label(life: Column, event: Column, threshold: float) -> Column:
     return F.when(life >= threshold, 1).when(event & (life < threshold), 0)
 
 
-def isotonic(df: DataFrame, keys: list[str], score: str, label: str, most_points: int = 10_000) -> DataFrame:
+def isotonic(df: DataFrame, keys: list[str], score: str, label: str, scratch: Scratch) -> DataFrame:
     """(keys, score, value): a rising step function through the labels, by pooling adjacent violators.
 
-    Scores are aggregated first, to four decimals where a group would have more than ``most_points`` of them, so a task
-    holds at most that many points of a group however many rows it has."""
-    fine = df.groupBy(*keys, F.col(score).cast("double").alias("_x")).agg(F.sum(F.col(label).cast("double")).alias("_s"), F.count(label).alias("_n"))
-    many = fine.groupBy(*keys).agg(F.count("*").alias("_points"))
-    rounded = F.when(F.col("_points") > most_points, F.round("_x", 4)).otherwise(F.col("_x"))
-    points = fine.join(many, keys).groupBy(*keys, rounded.alias("_r")).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    Equal scores are one point. Points are pooled within ranges of the scores first; what is left of each range, its rising
+    blocks, is pooled again for the whole key. That gives the same steps as one pass over all points, and a task holds a
+    range or the blocks, never all points of a key."""
     kinds = dict(df.dtypes)
-
-    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_r")
+    spark = df.sparkSession
+    points = df.groupBy(*keys, F.col(score).cast("double").alias("_x")).agg(F.sum(F.col(label).cast("double")).alias("_s"), F.count(label).alias("_n")).where("_n > 0")
+    ranges = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    laid = scratch.keep(points.repartitionByRange(ranges, *keys, "_x").withColumn("_range", F.spark_partition_id()))
+    head = "".join(f"{c} {kinds[c]}, " for c in keys)
+
+    def pooled(pdf: pd.DataFrame, at: str) -> tuple[pd.DataFrame, list[list[float]]]:
+        pdf = pdf.sort_values(at)
         blocks: list[list[float]] = []
         for s, n in zip(pdf["_s"], pdf["_n"]):
             blocks.append([s, n, 1])
@@ -109,8 +123,22 @@ def isotonic(df: DataFrame, keys: list[str], score: str, label: str, most_points
                 blocks[-1][0] += s2
                 blocks[-1][1] += n2
                 blocks[-1][2] += k2
-        values = [s / n for s, n, k in blocks for _ in range(k)]
-        return pd.DataFrame({**{c: pdf[c] for c in keys}, score: pdf["_r"], "value": values})
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", {score} double, value double"
-    return points.where("_n > 0").groupBy(*keys).applyInPandas(pool, schema)
+        return pdf, blocks
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, blocks = pooled(pdf, "_x")
+        size = np.array([k for _, _, k in blocks])
+        first = np.cumsum(size) - size
+        out = {**{c: pdf[c] for c in keys}, "_x": pdf["_x"], "_block": np.repeat(pdf["_x"].to_numpy()[first], size)}
+        return pd.DataFrame({**out, "_s": np.repeat([s for s, _, _ in blocks], size), "_n": np.repeat([n for _, n, _ in blocks], size)})
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, blocks = pooled(pdf, "_block")
+        return pd.DataFrame({**{f"_of_{c}": pdf[c] for c in keys}, "_at": pdf["_block"], "value": [s / n for s, n, k in blocks for _ in range(k)]})
+
+    parts = scratch.keep(laid.groupBy(*keys, "_range").applyInPandas(within, f"{head}_x double, _block double, _s double, _n double"))
+    steps = parts.where("_x = _block").groupBy(*keys).applyInPandas(across, "".join(f"_of_{c} {kinds[c]}, " for c in keys) + "_at double, value double")
+    same = F.col("_block") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return parts.join(steps, same).select(*keys, F.col("_x").alias(score), "value")

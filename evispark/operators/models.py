@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from evispark.functions.cleaning import finite
 from evispark.operators.selection import folds
 from evispark.operators.statistics import regression_metrics
+from evispark.session import Scratch
 
-#: Trees and depth by profile.
-PROFILES = {"fast": (20, 5), "balanced": (40, 6), "standard": (60, 7)}
+#: Trees of a forest, boosted trees and depth by profile.
+PROFILES = {"fast": (120, 200, 5), "balanced": (160, 240, 6), "standard": (200, 300, 7)}
 
 
 def clean_features(df: DataFrame, numbers: list[str], words: list[str]) -> DataFrame:
@@ -30,9 +31,10 @@ def usable(df: DataFrame, columns: list[str], least: int = 20, share: float = 0.
     return [c for c in columns if row[f"n_{c}"] >= max(least, share * row.n) and row[f"d_{c}"] > 1]
 
 
-def pipeline(numbers: list[str], words: list[str], candidate: str, target: str, profile: str = "fast", weight: str | None = None) -> Pipeline:
-    """Median imputation and scaling, one-hot words with unseen ones kept apart, and a learner."""
-    trees, depth = PROFILES[profile]
+def pipeline(numbers: list[str], words: list[str], candidate: str, target: str, profile: str = "fast", weight: str | None = None, boosts: int | None = None) -> Pipeline:
+    """Median imputation and scaling, one-hot words with unseen ones kept apart, and a learner; boosts: other than the profile's."""
+    trees, rounds, depth = PROFILES[profile]
+    rounds = boosts or rounds
     stages, parts = [], []
     if numbers:
         imputed = [f"{c}_i" for c in numbers]
@@ -48,23 +50,49 @@ def pipeline(numbers: list[str], words: list[str], candidate: str, target: str,
     learners = {
         "linear_l2": lambda: LinearRegression(labelCol=target, regParam=1.0, elasticNetParam=0.0, **extra),
         "random_forest": lambda: RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=42, **extra),
-        "gbt": lambda: GBTRegressor(labelCol=target, maxIter=trees, maxDepth=min(depth, 5), seed=42, **extra),
+        "gbt": lambda: GBTRegressor(labelCol=target, maxIter=rounds, maxDepth=min(depth, 5), seed=42, **extra),
     }
     return Pipeline(stages=[*stages, learners[candidate]()])
 
 
-def out_of_fold(df: DataFrame, group: str, numbers: list[str], words: list[str], target: str, candidates: tuple[str, ...] = ("linear_l2", "random_forest"), k: int = 3) -> DataFrame:
-    """(row columns, candidate, fold, prediction): each row predicted by a model that saw no row of its group."""
+def _baseline(data: DataFrame, fold: int, candidate: str, target: str, family: str) -> DataFrame:
+    """The mean, the median or the family's median of the other folds; a family that they lack has their median."""
+    seen = data.where(F.col("fold") != fold)
+    overall = seen.agg(F.avg(target).alias("mean"), F.median(target).alias("median"))  # one row
+    rows = data.where(F.col("fold") == fold).crossJoin(F.broadcast(overall))
+    if candidate != "family_median":
+        return rows.withColumn("prediction", F.col(candidate))
+    own = seen.groupBy(F.col(family).alias("_family")).agg(F.median(target).alias("_own"))
+    return rows.join(own, F.col(family) == F.col("_family"), "left").withColumn("prediction", F.coalesce("_own", "median"))
+
+
+BASELINES = ("mean", "median", "family_median")
+
+
+def out_of_fold(df: DataFrame, group: str, numbers: list[str], words: list[str], target: str, candidates: tuple[str, ...] = (*BASELINES, "linear_l2", "random_forest"), k: int = 5, family: str = "alloy_family") -> DataFrame:
+    """(row columns, candidate, fold, prediction): each row predicted by a model that saw no row of its group.
+
+    "gbt" may be asked for too; its boosted trees are fitted one after the other."""
     data = clean_features(df, numbers, words).where(F.col(target).isNotNull())
-    data = data.join(folds(data, group, k), group)
+    data = Scratch(df.sparkSession).keep(data.join(folds(data, group, k), group))
     parts = []
     for c in candidates:
         for i in range(k):
-            model = pipeline(numbers, words, c, target).fit(data.where(F.col("fold") != i))
-            parts.append(model.transform(data.where(F.col("fold") == i)).select(*df.columns, F.lit(c).alias("candidate"), "fold", "prediction"))
+            if c in BASELINES:
+                done = _baseline(data, i, c, target, family)
+            else:
+                done = pipeline(numbers, words, c, target).fit(data.where(F.col("fold") != i)).transform(data.where(F.col("fold") == i))
+            parts.append(done.select(*df.columns, F.lit(c).alias("candidate"), "fold", "prediction"))
     return reduce(DataFrame.unionAll, parts)
 
 
+def background(rows: DataFrame, features: list[str]) -> dict[str, object]:
+    """One row to explain against: the median of numbers, the commonest of words."""
+    kinds = dict(rows.dtypes)
+    found = rows.agg(*((F.mode(f, True) if kinds[f] == "string" else F.median(f)).alias(f) for f in features)).first()
+    return found.asDict()
+
+
 def best_candidate(oof: DataFrame, target: str) -> DataFrame:
     """Metrics of each candidate, the best by r2, then rmse, then mae marked."""
     m = regression_metrics(oof, ["candidate"], target, "prediction")
@@ -73,7 +101,7 @@ def best_candidate(oof: DataFrame, target: str) -> DataFrame:
     return m.crossJoin(F.broadcast(first)).withColumn("selected", F.col("candidate") == F.col("_best")).drop("_best")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], target: str, key: str, repeats: int = 3) -> DataFrame:
+def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], target: str, key: str, repeats: int = 5) -> DataFrame:
     """(feature, repeat, rise): how much the mean absolute error rises when a feature is taken from another row.
 
     All copies are scored in one transform. A feature is permuted by joining each row with the row whose rank by a seeded

@@ -20,13 +20,15 @@ def regression_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFr
     )
 
 
-def conformal_radius(df: DataFrame, keys: list[str], residual: Column, level: float = 0.9) -> DataFrame:
-    """(keys, n, radius): the "higher" quantile of absolute residuals at min(1, ceil((n + 1) level) / n)."""
-    rows = df.select(*keys, F.abs(residual).alias("_r")).where("_r is not null and not isnan(_r)")
-    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_r")))
-    sized = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    q = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * level) / F.col("n"))
-    return ranked.join(sized, keys).where(F.col("_k") == F.ceil(q * (F.col("n") - 1)) + 1).select(*keys, "n", F.col("_r").alias("radius"))
+def conformal_radius(df: DataFrame, keys: list[str], residual: Column, scratch: Scratch, level: float = 0.9) -> DataFrame:
+    """(keys, n, radius): the "higher" quantile of absolute residuals at min(1, ceil((n + 1) level) / n).
+
+    Places come from ranges, so a key with a third of all rows is ranked in many tasks."""
+    from evispark.operators.selection import ranked
+
+    rows = df.select(*keys, F.abs(residual).alias("_gap")).where("_gap is not null and not isnan(_gap)")
+    q = F.least(F.lit(1.0), F.ceil((F.col("_n") + 1) * level) / F.col("_n"))
+    return ranked(rows, keys, ["_gap"], scratch).where(F.col("_i") == F.ceil(q * (F.col("_n") - 1))).select(*keys, F.col("_n").alias("n"), F.col("_gap").alias("radius"))
 
 
 def single_column_sets(df: DataFrame, columns: list[str], *aggs: Column, least: int = 1) -> DataFrame:
@@ -38,16 +40,22 @@ def single_column_sets(df: DataFrame, columns: list[str], *aggs: Column, least:
     return grouped.withColumn("group_value", value).where(F.col("group_value").isNotNull() & (F.col("n_rows") >= least)).drop(*columns)
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 5) -> DataFrame:
-    """(keys, n, rho): correlation of average ranks, where there are enough pairs."""
-    pairs = df.select(*keys, x, y).where(f"{x} is not null and {y} is not null")
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, scratch: Scratch, least: int = 5) -> DataFrame:
+    """(keys, n, rho): correlation of average ranks, where there are enough pairs.
 
-    def rank(c: str) -> Column:
-        ties = Window.partitionBy(*keys, c)
-        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(ties) - 1) / 2
+    Ranks come from ranges, and equal values share the mean of their places, so no group is ranked whole in one task."""
+    from evispark.operators.selection import ranked
 
-    ranked = pairs.withColumn("_rx", rank(x)).withColumn("_ry", rank(y))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho")).where(F.col("n") >= least)
+    pairs = scratch.keep(df.select(*keys, x, y).where(f"{x} is not null and {y} is not null"))
+    out = pairs
+    for c, name in ((x, "_rx"), (y, "_ry")):
+        places = ranked(pairs.select(*keys, c), keys, [c], scratch)
+        ranks = places.groupBy(*keys, c).agg((F.avg("_i") + 1).alias(name)).select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col(c).alias("_at"), name)
+        same = F.col(c) == F.col("_at")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        out = out.join(ranks, same).drop("_at", *(f"_of_{k}" for k in keys))
+    return out.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho")).where(F.col("n") >= least)
 
 
 def iqr(df: DataFrame, keys: list[str], column: str) -> DataFrame:

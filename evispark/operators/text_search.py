@@ -35,29 +35,40 @@ def terms(df: DataFrame, text: Column, *keys: str) -> DataFrame:
     return split.select(*keys, F.col("word").alias("term")).unionAll(pairs)
 
 
-def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, weight): raw counts times smooth idf, of length 1 for each document."""
+def _weighted(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, w, idf): raw counts times smooth idf."""
     listed = df.select(key, words(F.col(text)).alias("_words"))
     paired = F.transform(F.arrays_zip(F.col("_words").alias("a"), F.slice("_words", 2, 1 << 30).alias("b")), lambda x: F.when(x["b"].isNotNull(), F.concat_ws(" ", x["a"], x["b"])))
     listed = listed.select(key, F.explode(F.concat("_words", F.array_compact(paired))).alias("term"))
     counts = listed.groupBy(key, "term").agg(F.count("*").alias("tf"))
     total = df.agg(F.count("*").alias("_n"))
     idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    return counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"), "idf")
+
+
+def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, weight, idf): the index, of length 1 for each document."""
+    raw = _weighted(df, key, text)
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("_norm")).alias("weight"), "idf")
 
 
-def ranked(index: DataFrame, key: str, query: str, k: int) -> DataFrame:
-    """(key, score): the k documents with the highest cosine to the query; ties by key. Only the query's terms are read."""
-    if k <= 0:
-        return index.select(key, F.lit(0.0).alias("score")).where("false")
-    asked = terms(index.sparkSession.range(1), F.lit(query), "id").groupBy("term").agg(F.count("*").alias("qtf"))
-    hits = index.join(F.broadcast(asked), "term")  # a query is one line of text
-    weights = hits.select("term", (F.col("qtf") * F.col("idf")).alias("qw")).distinct()
-    norm = weights.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("_qn"))
-    scored = hits.groupBy(key).agg(F.sum(F.col("weight") * F.col("qtf") * F.col("idf")).alias("_s"))
-    return scored.crossJoin(F.broadcast(norm)).select(key, F.round(F.col("_s") / F.col("_qn"), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+def search(df: DataFrame, key: str, text: str, query: str, k: int | None = None) -> DataFrame:
+    """(key, score): the k documents with the highest cosine to the query, ties by key; every document that holds a term of
+    it without k, in no order.
+
+    The terms of all documents are counted once; beside their norms only the postings of the query's terms are kept."""
+    if k is not None and k <= 0:
+        return df.select(key, F.lit(0.0).alias("score")).where("false")
+    asked = terms(df.sparkSession.range(1), F.lit(query), "id").groupBy("term").agg(F.count("*").alias("qtf"))  # one line of text
+    weighted = _weighted(df, key, text).join(F.broadcast(asked), "term", "left")
+    dot = F.col("w") * F.col("qtf") * F.col("idf")
+    per = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), F.sum(dot).alias("_s"), F.collect_set(F.when(F.col("qtf").isNotNull(), F.struct("term", "qtf", "idf"))).alias("_q"))
+    hits = per.where("_s is not null")
+    parts = hits.select(F.explode("_q").alias("q")).select("q.*").distinct()  # the query's terms
+    norm = parts.agg(F.sqrt(F.sum(F.col("qtf") * F.col("idf") * F.col("qtf") * F.col("idf"))).alias("_qn"))
+    scored = hits.select(key, "_norm", "_s").crossJoin(F.broadcast(norm)).select(key, F.round(F.col("_s") / F.col("_norm") / F.col("_qn"), 6).alias("score"))
+    return scored if k is None else scored.orderBy(F.desc("score"), key).limit(k)
 
 
 def per_source(scored: DataFrame, source: str, key: str, k: int) -> DataFrame:

@@ -273,6 +273,9 @@ def m13_scenarios(spark, sf):
     return scored.select("view_row_id", "domain", "law", "scale", *(F.round(c, 5).alias(c) for c in ("p_first", "p_second")), *(F.round(c, 1).alias(c) for c in ("q10", "q50", "q90")), warning.alias("warnings"))
 
 
+_EXTRA = ("laser_power_w", "layer_thickness_um", "relative_density_percent", "hardness_hv")
+
+
 @query()
 def m7_curve_residual(spark, sf):
     """Errors of log-log curves by level alone and with boosted trees for what they leave, both on groups left out."""
@@ -280,7 +283,7 @@ def m7_curve_residual(spark, sf):
 
     scratch = Scratch(spark)
     life = C.log_life(F.col("fatigue_life_cycles"))
-    rows = read(spark, sf, "extraction_records").select("row_id", F.lower(F.trim("source_id")).alias("s"), C.alloy_family("alloy").alias("alloy_family"), C.ratio_bin("r_ratio").alias("bin"), C.finite("stress_amplitude_mpa").alias("stress"), life.alias("y"), C.finite("laser_power_w").alias("laser_power_w"), C.finite("hardness_hv").alias("hardness_hv"), "test_type")
+    rows = read(spark, sf, "extraction_records").select("row_id", F.lower(F.trim("source_id")).alias("s"), C.alloy_family("alloy").alias("alloy_family"), C.ratio_bin("r_ratio").alias("bin"), C.finite("stress_amplitude_mpa").alias("stress"), life.alias("y"), *(C.finite(c).alias(c) for c in _EXTRA), "test_type")
     rows = scratch.keep(rows.where("s is not null and y is not null and stress > 0"))
     test = S.holdout(rows, "s")
     split = scratch.keep(rows.join(test, "s"))
@@ -289,7 +292,8 @@ def m7_curve_residual(spark, sf):
     level = lambda n: curves.where(F.col("level") == n).select(F.col("family").alias("alloy_family"), F.col("ratio").alias("bin"), F.struct("slope", "intercept").alias("curve"))
     placed = J.by_level(split.withColumn("alloy_family", F.coalesce("alloy_family", F.lit("missing"))), [("family_ratio", level("family_ratio"), ["alloy_family", "bin"]), ("family", level("family").drop("bin"), ["alloy_family"]), ("global", level("global").select("curve"), [])], "curve")
     placed = placed.withColumn("base", F.col("curve.intercept") + F.col("curve.slope") * F.log10("stress")).where("base is not null").withColumn("residual", F.col("y") - F.col("base")).drop("curve", "level")
-    data = scratch.keep(M.clean_features(placed, ["stress", "base", "laser_power_w", "hardness_hv"], ["bin", "test_type"]))
-    model = M.pipeline(["stress", "base", "laser_power_w", "hardness_hv"], ["bin", "test_type"], "gbt", "residual").fit(data.where("not is_test"))
+    data = scratch.keep(M.clean_features(placed, ["stress", "base", *_EXTRA], ["bin", "test_type"]))
+    numbers = ["stress", "base", *M.usable(data.where("not is_test"), list(_EXTRA))]
+    model = M.pipeline(numbers, ["bin", "test_type"], "gbt", "residual", boosts=30).fit(data.where("not is_test"))
     scored = model.transform(data.where("is_test")).select("y", F.explode(F.array(F.struct(F.lit("curve").alias("candidate"), F.col("base").alias("p")), F.struct(F.lit("curve_and_residual").alias("candidate"), (F.col("base") + F.col("prediction")).alias("p")))).alias("c")).select("y", "c.*")
     return A.regression_metrics(scored, ["candidate"], "y", "p")

@@ -99,12 +99,12 @@ def f10_surface_route(spark, sf):
     return rows.select("row_id", "surface", "heat", C.material_state("post_processing", "surface", "heat").alias("state"))
 
 
-@query("""WITH d AS (SELECT doc_id, lower(trim(text)) AS t FROM documents WHERE text IS NOT NULL AND n_chars < 2000)
+@query("""WITH d AS (SELECT doc_id, lower(trim(text)) AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CASE WHEN regexp_matches(t, 'c\\s*\\(\\s*t\\s*\\)') THEN 'compact-tension' WHEN regexp_matches(t, 'compact\\s+tension') THEN 'compact-tension' WHEN regexp_matches(t, 'circular\\s+cross') THEN 'circular-cross-section'
 WHEN regexp_matches(t, 'rectangular\\s+cross') THEN 'rectangular-cross-section' WHEN regexp_matches(t, 'cruciform') THEN 'cruciform' WHEN regexp_matches(t, 'tubular|tube') THEN 'tubular'
 WHEN regexp_matches(t, 'hourglass') THEN 'hourglass' WHEN regexp_matches(t, 'single.edge.notch|\\bsen[bt]?\\b') THEN 'single-edge-notch' WHEN regexp_matches(t, 'middle.tension|\\bm\\s*\\(\\s*t\\s*\\)') THEN 'middle-tension' END AS shape FROM d""")
 def f11_geometry(spark, sf):
-    return read(spark, sf, "documents").where("text is not null and n_chars < 2000").select("doc_id", C.geometry("text").alias("shape"))
+    return read(spark, sf, "documents").where("text is not null").select("doc_id", C.geometry("text").alias("shape"))
 
 
 @query("""SELECT row_id, round(CASE WHEN v > 0 THEN p / v END, 3) AS ved, round(CASE WHEN d BETWEEN 0 AND 100 THEN 100 - d END, 6) AS porosity, round(CASE WHEN n > 0 THEN log10(n) END, 6) AS log_life,

@@ -43,7 +43,7 @@ def a4_regression_metrics(spark, sf):
 SELECT alloy_family, n, round(r, 6) AS radius FROM r WHERE k = ceil(least(1.0::DOUBLE, ceil((n + 1) * 0.9::DOUBLE) / n) * (n - 1)) + 1""")
 def a5_conformal_radius(spark, sf):
     rows = _pairs(spark, sf).where("alloy_family is not null")
-    return A.conformal_radius(rows, ["alloy_family"], F.col("y") - F.col("p")).withColumn("radius", F.round("radius", 6))
+    return A.conformal_radius(rows, ["alloy_family"], F.col("y") - F.col("p"), Scratch(spark)).withColumn("radius", F.round("radius", 6))
 
 
 @query("""WITH r AS (SELECT row_id, alloy_family, fatigue_life_cycles AS t, lower(trim(runout)) IN ('no', 'false', '0', 'n', 'failed', 'failure') AS e, -stress_amplitude_mpa AS h FROM extraction_records WHERE alloy_family IS NOT NULL AND isfinite(fatigue_life_cycles) AND isfinite(stress_amplitude_mpa)),
@@ -151,7 +151,7 @@ def a18_source_dominance(spark, sf):
 @query(f"""{_PAIRS}, f AS (SELECT * FROM q WHERE y IS NOT NULL AND p IS NOT NULL), k AS (SELECT alloy_family, rank() OVER (PARTITION BY alloy_family ORDER BY y) + (count(*) OVER (PARTITION BY alloy_family, y) - 1) / 2 AS ry, rank() OVER (PARTITION BY alloy_family ORDER BY p) + (count(*) OVER (PARTITION BY alloy_family, p) - 1) / 2 AS rp FROM f)
 SELECT alloy_family, count(*) AS n, round(corr(ry, rp), 6) AS rho FROM k GROUP BY alloy_family HAVING count(*) >= 5""")
 def a24_spearman(spark, sf):
-    return A.spearman(_pairs(spark, sf), ["alloy_family"], "y", "p").withColumn("rho", F.round("rho", 6))
+    return A.spearman(_pairs(spark, sf), ["alloy_family"], "y", "p", Scratch(spark)).withColumn("rho", F.round("rho", 6))
 
 
 @query("""WITH g AS (SELECT source, lang, count(*) AS v FROM documents GROUP BY source, lang) SELECT source, lang, round(v / sum(v) OVER (PARTITION BY source), 6) AS fraction FROM g""")
@@ -179,7 +179,7 @@ SELECT s, count(*) AS n, NOT coalesce(bool_or(bad), false) AS monotone FROM d GR
 def w10_monotone_check(spark, sf):
     rows = read(spark, sf, "extraction_records").where("stress_amplitude_mpa is not null and fatigue_life_cycles is not null and not isnan(stress_amplitude_mpa) and not isnan(fatigue_life_cycles)")
     means = rows.groupBy(F.lower(F.trim("source_id")).alias("s"), F.col("stress_amplitude_mpa").alias("x")).agg(F.avg("fatigue_life_cycles").alias("y"))
-    return K.monotone(means, ["s"], "x", "y")
+    return K.monotone(means, ["s"], "x", "y", Scratch(spark))
 
 
 @query("""SELECT row_id, round(1 / (1 + exp((ln(1e7) - ln(n)) / 0.8)), 6) AS p_logistic, round(exp(-exp((ln(1e7) - ln(n)) / 0.8)), 6) AS p_extreme, round(exp(ln(n) + 0.8 * ln(0.1 / 0.9)), 2) AS q10, CASE WHEN n >= 1e7 THEN 1 WHEN e AND n < 1e7 THEN 0 END AS label
@@ -204,7 +204,7 @@ def m10_survival_normal(spark, sf):
 def m12_isotonic(spark, sf):
     label = F.when(F.col("fatigue_life_cycles") >= 1e6, 1).when(F.col("fatigue_life_cycles") < 1e6, 0)
     rows = read(spark, sf, "extraction_records").select("alloy_family", (-F.round("stress_amplitude_mpa", 0)).alias("score"), label.alias("label"))
-    return K.isotonic(rows.where("alloy_family is not null and score is not null and label is not null"), ["alloy_family"], "score", "label")
+    return K.isotonic(rows.where("alloy_family is not null and score is not null and label is not null"), ["alloy_family"], "score", "label", Scratch(spark))
 
 
 @query("""SELECT doc_id, CAST(i / 3200 AS INT) AS chunk_index, regexp_replace(substr(text, i + 1, 3500), '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g') AS chunk FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(length(text) - 301, 0) + 1 AS BIGINT), 3200)) AS i FROM documents WHERE text IS NOT NULL)
@@ -224,13 +224,13 @@ k AS (SELECT term, qtf * idf AS qw FROM q JOIN d USING (term)), s AS (SELECT doc
 
 @query(f"{_TFIDF} SELECT doc_id, round(s, 6) AS score FROM s ORDER BY round(s, 6) DESC, doc_id LIMIT 20")
 def r3_tfidf_topk(spark, sf):
-    return R.ranked(R.tfidf(read(spark, sf, "documents"), "doc_id", "text"), "doc_id", "surface roughness of fatigue strength", 20)
+    return R.search(read(spark, sf, "documents"), "doc_id", "text", "surface roughness of fatigue strength", 20)
 
 
 @query(f"{_TFIDF}, k2 AS (SELECT doc_id, source, round(s, 6) AS score FROM s JOIN documents USING (doc_id)) SELECT doc_id, source, score, source_rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS source_rank FROM k2) WHERE source_rank <= 2")
 def r4_per_source_topk(spark, sf):
     docs = read(spark, sf, "documents")
-    scored = R.ranked(R.tfidf(docs, "doc_id", "text"), "doc_id", "surface roughness of fatigue strength", 1 << 30)
+    scored = R.search(docs, "doc_id", "text", "surface roughness of fatigue strength")
     return R.per_source(scored.join(docs.select("doc_id", "source"), "doc_id"), "source", "doc_id", 2)
 
 

@@ -2,38 +2,44 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evispark.functions import cleaning as C
 from evispark.operators import matching, models
 from evispark.operators import selection as S
+from evispark.operators import statistics as A
 from evispark.plans.registry import query
 from evispark.session import read, scratch_dir
 from evispark.sources import tables
 from evispark.streaming import ingest
 
-_GRID = [
-    ("tensile", 1, ["Table 3", None, None]), ("tensile", 2, ["", "", ""]), ("tensile", 3, ["UTS (MPa)", "Laser Power (W)", "Note"]), ("tensile", 4, ["900", "280", "a"]),
-    ("fatigue", 1, ["Hatch (μm)", "UTS (MPa)", None]), ("fatigue", 2, ["Laser power [W]", "UTS / MPa", "x"]),
-]
-
-
-@query("""SELECT * FROM (VALUES ('tensile', 3, 203), ('fatigue', 2, 203)) AS t(sheet, row_no, score)""")
+@query("SELECT journal AS sheet, 2 AS row_no, 303 AS score FROM literature_manifest WHERE trim(journal) <> '' GROUP BY journal")
 def s4_header_detect(spark, sf):
-    cells = spark.createDataFrame(_GRID, "sheet string, row_no int, cells array<string>")
-    aliases = spark.createDataFrame([("uts mpa",), ("laser power w",)], "alias string")
-    return tables.header_rows(cells, aliases)
-
-
-@query("""SELECT row_id AS id, source_id, confidence, CAST(NULL AS VARCHAR) AS error FROM extraction_records WHERE alloy_family = 'Ti alloy' AND record_id IS NOT NULL UNION ALL SELECT NULL, NULL, NULL, 'malformed'""")
+    """Sheets of cells, one for each journal: a line of remarks, the header, and its papers. The header is found."""
+    papers = read(spark, sf, "literature_manifest").where("trim(journal) <> ''")
+    text = lambda *cs: F.array(*(F.col(c).cast("string") for c in cs))
+    order = Window.partitionBy("journal").orderBy("listed_at", "source_id", "article_number", "title")
+    data = papers.select("journal", (F.row_number().over(order) + 2).alias("row_no"), text("source_id", "pub_year", "doi").alias("cells"))
+    heads = papers.select("journal").distinct().select("journal", F.explode(F.array(
+        F.struct(F.lit(1).alias("row_no"), F.array(F.concat(F.lit("Papers of "), "journal"), F.lit(None), F.lit("")).alias("cells")),
+        F.struct(F.lit(2).alias("row_no"), F.array(F.lit("Source ID"), F.lit("Pub. year"), F.lit("DOI")).alias("cells")),
+    )).alias("h")).select("journal", "h.*")
+    aliases = spark.createDataFrame([("source id",), ("pub year",), ("doi",)], "alias string")
+    return tables.header_rows(heads.unionAll(data).withColumnRenamed("journal", "sheet"), aliases)
+
+
+@query("""SELECT row_id AS id, source_id, confidence, CAST(NULL AS VARCHAR) AS error FROM extraction_records WHERE record_id IS NOT NULL UNION ALL SELECT NULL, NULL, NULL, 'malformed'""")
 def s9_json_flatten(spark, sf):
-    """A round trip: records to envelopes, with a broken one added, and back."""
-    rows = read(spark, sf, "extraction_records").where("alloy_family = 'Ti alloy' and record_id is not null").select("record_id", F.col("row_id").alias("id"), "source_id", "confidence")
+    """A round trip: records to envelopes, with a broken one added, and back; only envelopes that a manifest lists are read."""
+    rows = read(spark, sf, "extraction_records").where("record_id is not null").select("record_id", F.col("row_id").alias("id"), "source_id", "confidence")
     envelopes = tables.json_envelopes(rows, ["record_id"], ["id", "source_id", "confidence"])
-    broken = spark.createDataFrame([("broken", '{"records": [{"id": ')], "record_id string, envelope string")
+    broken = spark.createDataFrame([("broken", '{"records": [{"id": '), ("unlisted", '{"records": [{"id": 1}]}')], "record_id string, envelope string")
+    active = rows.select("record_id").distinct().unionAll(spark.createDataFrame([("broken",)], "record_id string"))
     record = T.StructType().add("id", T.LongType()).add("source_id", T.StringType()).add("confidence", T.DoubleType())
-    return tables.json_records(envelopes.unionAll(broken), "record_id", "envelope", record).select("id", "source_id", "confidence", "error")
+    listed = envelopes.unionAll(broken).join(active, "record_id", "left_semi")
+    return tables.json_records(listed, "record_id", "envelope", record).select("id", "source_id", "confidence", "error")
 
 
 @query()
@@ -83,24 +89,33 @@ def _training(spark, sf):
 
 @query()
 def m6_grouped_cv(spark, sf):
+    """Five folds of groups, the candidates' out-of-fold metrics, the best marked."""
     oof = models.out_of_fold(_training(spark, sf), "s", _NUMBERS, _WORDS, "uts_mpa")
     return models.best_candidate(oof, "uts_mpa")
 
 
+@query()
+def m5_weighted_refit(spark, sf):
+    """A linear model refitted on all rows, every source weighing the same; its error by alloy family."""
+    rows = models.clean_features(S.equal_weights(_training(spark, sf), "s"), _NUMBERS, _WORDS)
+    model = models.pipeline(_NUMBERS, _WORDS, "linear_l2", "uts_mpa", weight="weight").fit(rows)
+    return A.regression_metrics(model.transform(rows), ["alloy_family"], "uts_mpa", "prediction")
+
+
 @query()
 def m14_permutation(spark, sf):
     rows = models.clean_features(_training(spark, sf), _NUMBERS, _WORDS)
     model = models.pipeline(_NUMBERS, _WORDS, "random_forest", "uts_mpa").fit(rows)
-    return models.permutation_importance(model, rows, [*_NUMBERS, "alloy_family"], "uts_mpa", "row_id", repeats=2)
+    return models.permutation_importance(model, rows, [*_NUMBERS, "alloy_family"], "uts_mpa", "row_id")
 
 
 @query()
 def m15_shapley(spark, sf):
-    """Shapley values of fifty rows chosen by hash, which is what is explained."""
+    """Shapley values of the forty rows chosen by hash that are explained, against medians and modes of all rows."""
+    features = [*_NUMBERS, "alloy_family"]
     rows = models.clean_features(_training(spark, sf), _NUMBERS, _WORDS)
     model = models.pipeline(_NUMBERS, _WORDS, "linear_l2", "uts_mpa").fit(rows)
-    background = {"hardness_hv": 200.0, "laser_power_w": 280.0, "layer_thickness_um": 40.0, "alloy_family": "missing"}
-    return models.shapley(model, S.hash_sample(rows, "row_id", 50), background, [*_NUMBERS, "alloy_family"], "row_id", permutations=4)
+    return models.shapley(model, S.hash_sample(rows, "row_id", 40), models.background(rows, features), features, "row_id")
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n_rows FROM events GROUP BY 1, 2")
@@ -112,3 +127,15 @@ def x1_stream_daily_counts(spark, sf):
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
     name = f"daily_{uuid.uuid4().hex}"
     return ingest.run_to_memory(ingest.daily_counts(rows, "ts", "event_type"), name, f"{scratch_dir(spark)}/{name}")
+
+
+@query("SELECT DISTINCT event_id, user_id, event_type FROM events")
+def x2_stream_once_each(spark, sf):
+    """The events as a stream in which every row comes twice, written once each to files."""
+    import uuid
+
+    schema = read(spark, sf, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = f"{scratch_dir(spark)}/once_{uuid.uuid4().hex}"
+    twice = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return ingest.run_to_files(ingest.once_each(twice, "event_id", "ts"), path, f"{path}-checkpoint").select("event_id", "user_id", "event_type")

@@ -71,12 +71,21 @@ def w13_unique_targets(spark, sf):
     return rows.withColumn("k", k).select("source_id", "article_number", "listed_at", name.alias("target"))
 
 
-@query("""SELECT doi, count(*) AS n_records, round(sum(hatch_um), 3) AS hatch_um, max(confidence) AS confidence FROM (SELECT * FROM (VALUES ('10.1/a', 100.0::DOUBLE, 0.9::DOUBLE), ('10.1/a', 50.0, 0.7), ('10.1/b', 900.0, 0.5)) AS t(doi, hatch_um, confidence)) GROUP BY doi""")
+_WORD = {"high": 0.9, "medium": 0.7, "low": 0.5}
+_DOI_SQL = "nullif(regexp_replace(regexp_replace(regexp_replace(lower(doi), '\\s+', '', 'g'), '^(https?://)?(dx\\.)?doi\\.[a-z]+/|^doi:?', ''), '[.,;:)\\]}]+$', ''), '')"
+
+
+@query(f"""SELECT {_DOI_SQL} AS doi, count(*) AS n_records, round(sum(CASE WHEN isfinite(hatch_spacing_um) THEN hatch_spacing_um END), 3) AS hatch_um, max(CASE WHEN confidence >= 0.8 THEN 0.9 WHEN confidence >= 0.5 THEN 0.7 WHEN confidence >= 0 THEN 0.5 END::DOUBLE) AS confidence
+FROM extraction_records WHERE {_DOI_SQL} IS NOT NULL AND coalesce(NOT isnan(confidence), true) GROUP BY 1""")
 def s18_manual_import(spark, sf):
     """Typed rows in millimetres and words of confidence, brought to the record form and grouped by DOI."""
-    typed = [(" 10.1/A.", "0.1", "high"), ("10.1/a", "0.05", "Medium"), ("10.1/b", "0.9", "low")]
-    rows = spark.createDataFrame(typed, "doi string, hatch_mm string, confidence string")
-    word = F.lower(F.trim("confidence"))
-    trust = F.when(word == "high", 0.9).when(word == "medium", 0.7).when(word == "low", 0.5)
-    clean = rows.select(C.doi("doi").alias("doi"), (C.numeric("hatch_mm") * 1000).alias("hatch_um"), trust.alias("confidence"))
+    c = F.col("confidence")
+    word = F.when(c >= 0.8, "high").when(c >= 0.5, " Medium").when(c >= 0, "LOW ")
+    hatch = F.when(C.finite("hatch_spacing_um").isNotNull(), F.format_string("%.9f", F.col("hatch_spacing_um") / 1000))
+    typed = read(spark, sf, "extraction_records").where("coalesce(not isnan(confidence), true)").select("doi", hatch.alias("hatch_mm"), word.alias("confidence"))
+    said = F.lower(F.trim("confidence"))
+    trust = F.lit(None).cast("double")
+    for w, v in _WORD.items():
+        trust = F.when(said == w, v).otherwise(trust)
+    clean = typed.select(C.doi("doi").alias("doi"), (C.numeric("hatch_mm") * 1000).alias("hatch_um"), trust.alias("confidence")).where("doi is not null")
     return clean.groupBy("doi").agg(F.count("*").alias("n_records"), F.round(F.sum("hatch_um"), 3).alias("hatch_um"), F.max("confidence").alias("confidence"))

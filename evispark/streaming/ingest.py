@@ -31,15 +31,31 @@ def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "comple
     return df.sparkSession.table(name)
 
 
-def upsert_last(path: str, keys: list[str], order: str):
-    """A foreachBatch sink that keeps the last row of each key: the batch is merged with the table and swapped in."""
+def run_to_files(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there into Parquet files, whose commit log makes a retried batch count once."""
+    query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def upsert_last(path: str, keys: list[str], order: str, buckets: int = 64):
+    """A foreachBatch sink that keeps the last row of each key in a table of buckets by the keys' hash.
+
+    Only the buckets that a batch touches are merged and overwritten. A retried batch merges to the same rows, so it counts
+    once; the merged buckets are written beside the table first, because it is read for them."""
     from evispark.operators.selection import keep_last
-    from evispark.sources.tables import exists, replace_table
+    from evispark.session import Scratch
+    from evispark.sources.tables import exists
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(path) if exists(spark, path) else None
-        both = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
-        replace_table(keep_last(both, keys, order), path, keep_old=False)
+        scratch = Scratch(spark)
+        new = scratch.keep(batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+        both = new
+        if exists(spark, path):
+            touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most the buckets
+            both = spark.read.parquet(path).where(F.col("_bucket").isin(touched)).unionByName(new, allowMissingColumns=True)
+        merged = scratch.keep(keep_last(both, keys, order))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
 
     return sink

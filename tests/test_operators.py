@@ -1,11 +1,14 @@
 import itertools
+import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from evispark.functions import cleaning as C
-from evispark.operators import curves, joins, matching, selection, statistics, text_search
+from evispark.operators import curves, joins, matching, selection, statistics, survival, text_search, views
 from evispark.sources import tables
 from evispark.streaming import ingest
 
@@ -88,12 +91,39 @@ def test_change_log_and_levels(spark):
     assert sorted((r.v, r.level) for r in got) == [(1.0, "exact"), (2.0, "family"), (3.0, "global")]
 
 
-def test_isotonic_rises_and_keeps_the_mean(spark):
+def test_isotonic_is_one_pass_over_all_points(spark, scratch):
     rng = random.Random(5)
-    rows = [("g", float(i), int(rng.random() < i / 50)) for i in range(50)]
-    got = curves.isotonic(spark.createDataFrame(rows, "g string, s double, y int"), ["g"], "s", "y").orderBy("s").collect()
-    assert all(a.value <= b.value for a, b in zip(got, got[1:]))
-    assert sum(r.value for r in got) == pytest.approx(sum(y for _, _, y in rows))
+    rows = [(g, float(rng.randint(0, 300)), int(rng.random() < 0.5 + 0.4 * math.sin(i / 90))) for g in ("g", "h", None) for i in range(400)]
+    got = {}
+    for r in curves.isotonic(spark.createDataFrame(rows, "g string, s double, y int"), ["g"], "s", "y", scratch).collect():
+        got.setdefault(r.g, []).append((r.s, r.value))
+    for g in ("g", "h", None):
+        by = {}
+        for h, s, y in rows:
+            if h == g:
+                by.setdefault(s, []).append(y)
+        blocks = []
+        for s in sorted(by):
+            blocks.append([sum(by[s]), len(by[s]), [s]])
+            while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+                x = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + x[0], blocks[-1][1] + x[1], blocks[-1][2] + x[2]]
+        assert sorted(got[g]) == [(s, pytest.approx(a / n)) for a, n, ss in blocks for s in ss]
+
+
+def test_ranked_statistics_are_those_by_hand(spark, scratch):
+    rng = random.Random(8)
+    rows = [(g, float(rng.randint(0, 9)), float(rng.randint(0, 9))) for g in ("a", "a", "a", "b", None) for _ in range(40)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    rho = {r.g: (r.n, r.rho) for r in statistics.spearman(df, ["g"], "x", "y", scratch).collect()}
+    radius = {r.g: (r.n, r.radius) for r in statistics.conformal_radius(df, ["g"], F.col("x") - F.col("y"), scratch).collect()}
+    for g in ("a", "b", None):
+        x, y = (pd.Series([r[i] for r in rows if r[0] == g]) for i in (1, 2))
+        assert rho[g] == (len(x), pytest.approx(x.rank().corr(y.rank())))
+        n, gaps = len(x), sorted((x - y).abs())
+        assert radius[g] == (n, gaps[math.ceil(min(1.0, math.ceil((n + 1) * 0.9) / n) * (n - 1))])
+    steps = spark.createDataFrame([("up", 1, 1.0), ("up", 2, 2.0), ("down", 1, 3.0), ("down", 2, 3.0), ("down", 3, 1.0), (None, 1, 1.0)], "g string, o int, v double")
+    assert {r.g: (r.n, r.monotone) for r in curves.monotone(steps, ["g"], "o", "v", scratch).collect()} == {"up": (2, False), "down": (3, True), None: (1, True)}
 
 
 def test_chunks_cover_the_text(spark):
@@ -154,3 +184,61 @@ def test_stream_keeps_the_last_row_and_each_once(spark, tmp_path):
     once = ingest.once_each(stream, "k", "at").groupBy("k").count()
     got = ingest.run_to_memory(once, "once_each_test", f"{tmp_path}/cp2")
     assert {(r.k, r["count"]) for r in got.collect()} == {(1, 1), (2, 1)}
+
+
+def test_survival_models(spark, scratch):
+    """Simulated lives: the true law fits best, coefficients come back, censored rows count, falling features don't rise."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for domain, slope in (("a", -3.0), ("b", -5.0)):
+        x, z = rng.normal(0, 0.5, 1500), rng.normal(0, 1, 1500)
+        y = 12 + slope * x + 0.5 * np.log(rng.exponential(1, 1500))
+        end = np.full(1500, 13.0)
+        rows += [(domain, float(min(a, e)), bool(a <= e), float(u), float(v)) for a, e, u, v in zip(y, end, x, z)]
+    df = spark.createDataFrame(rows, "domain string, y double, event boolean, x double, z double")
+    models, table = survival.fit(df, ["x", "z"], scratch, falling=("z",))
+    got = {(r.domain, r.law, r.scale): r for r in models.collect()}
+    assert len(got) == 18 and all(r.n == 1500 and r.z <= 1e-12 for r in got.values())
+    for domain, slope in (("a", -3.0), ("b", -5.0)):
+        best = min((r for r in got.values() if r.domain == domain), key=lambda r: r.nll)
+        assert (best.law, best.scale) == ("extreme", 0.5) and best.x == pytest.approx(slope, abs=0.15) and best.intercept == pytest.approx(12, abs=0.1)
+        assert table[domain]["extreme", 0.5][1] == best.x
+    cases = spark.createDataFrame([("a", 0.1, 0.0), ("b", -0.5, 1.0), ("none", 0.0, 0.0)], "domain string, x double, z double")
+    out = survival.scenario_scores(survival.location(models, cases, ["x", "z"])).collect()
+    assert len(out) == 18 and all(r.p_second <= r.p_first and r.q10 <= r.q50 <= r.q90 for r in out)
+    assert survival.fit(df.limit(0), ["x"], scratch)[0].count() == 0
+
+
+@pytest.mark.parametrize("law", survival.LAWS)
+def test_survival_derivatives(law):
+    z = np.linspace(-6, 6, 41)
+    for event in (True, False):
+        e = np.full(len(z), event)
+        ll, first, second = survival.likelihood(law, z, e)
+        h = 1e-5
+        up, down = (survival.likelihood(law, z + d, e) for d in (h, -h))
+        assert np.allclose(first, (up[0] - down[0]) / (2 * h), rtol=1e-4, atol=1e-6) and np.allclose(second, (up[1] - down[1]) / (2 * h), rtol=1e-4, atol=1e-6)
+    assert np.isfinite(survival.likelihood(law, np.array([-40.0, 30.0]), np.array([False, False]))[0]).all()
+
+
+def test_views_and_registries(spark, scratch):
+    df = spark.createDataFrame([(None, 2.0, "a"), (1.0, 3.0, None), (None, None, " ")], "x double, `x.1` double, t string")
+    assert [tuple(r) for r in views.coalesced(df).collect()] == [(2.0, "a"), (1.0, None), (None, " ")]
+    sheets = spark.createDataFrame([("Parameters",), ("S-N data",), ("e-n",), ("dadN",), ("misc",), (None,)], "s string")
+    assert [r.t for r in sheets.select(views.sheet_task("s").alias("t")).collect()] == ["parameter_static", "sn_fatigue", "strain_life_fatigue", "crack_growth", "fatigue_misc", None]
+    assert [r.k for r in df.select(views.domain_key("t", F.col("t")).alias("k")).collect()] == ["a|a", "missing|missing", "missing|missing"]
+    old, new = (spark.createDataFrame(r, "k string, v int") for r in ([("a", 1), ("b", 2)], [("b", 3), ("c", 4)]))
+    with pytest.raises(ValueError):
+        views.merged_registry(old, new, "k")
+    assert {tuple(r) for r in views.merged_registry(old, new, "k", replace=True).collect()} == {("a", 1), ("b", 3), ("c", 4)}
+    path = scratch.root + "/store"
+    key = tables.registry_key("UTS (MPa)", "process only")
+    tables.store_artifact(old, path, key)
+    with pytest.raises(ValueError):
+        tables.store_artifact(new, path, key)
+    tables.store_artifact(new, path, key, replace=True)
+    assert tables.load_artifact(spark, path, key).count() == 2
+    with pytest.raises(FileNotFoundError):
+        tables.load_artifact(spark, path, "other")
+    with pytest.raises(ValueError):
+        tables.archive(spark, path, path + "-old", ["../x"])
