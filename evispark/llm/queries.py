@@ -12,7 +12,7 @@ from evispark.llm.packing import conflicts, pack_documents, unused_space
 from evispark.llm.publications import publication_splits, publications, same_publication_pairs
 from evispark.llm.results import result_groups, with_publication
 from evispark.llm.spam import page_scores
-from evispark.llm.survivors import skyline_survivors
+from evispark.llm.survivors import COMPLETENESS, skyline_survivors
 from evispark.llm.text import source_key
 from evispark.llm.tokens import encoded, spread
 from evispark.session import Scratch, read
@@ -30,6 +30,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return same_publication_pairs(_publications(spark, sf, Scratch(spark)))
 
 
+def p1_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source_id with its publication and the number of source_ids that this has; no pairs."""
+    pubs = _publications(spark, sf, Scratch(spark))
+    pubs = Scratch(spark).keep(pubs)
+    sizes = pubs.groupBy("pub").agg(F.count("*").alias("n_sources"))
+    return pubs.join(sizes, "pub").select(F.col("s").alias("source_id"), F.col("pub").alias("publication"), "n_sources", F.col("many").alias("is_collection"))
+
+
 def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
     """Each record with its split of split_plan."""
     scratch = Scratch(spark)
@@ -104,8 +112,8 @@ def _groups(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     scratch = Scratch(spark)
     groups = _groups(spark, sf, scratch)
-    best = skyline_survivors(_records(spark, sf), groups, scratch, fields=())
-    return groups.join(best, "g").select("row_id", F.col("survivor").alias("survivor_row_id"))
+    best = skyline_survivors(_records(spark, sf), groups, scratch)
+    return groups.join(best.select("g", "survivor"), "g").select("row_id", F.col("survivor").alias("survivor_row_id"))
 
 
 def p5_survivors(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,6 +122,17 @@ def p5_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return skyline_survivors(_records(spark, sf), _groups(spark, sf, scratch), scratch).drop("g")
 
 
+_FILLED = ("doi", "alloy", "uts_mpa", "laser_power_w", "hardness_hv")
+
+
+def p5_by_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    """The survivors of records with one fingerprint, five of their fields filled by layers."""
+    records = _records(spark, sf)
+    sizes = records.where("record_fingerprint is not null").groupBy(F.col("record_fingerprint").alias("g")).agg(F.count("*").alias("n")).where("n >= 2")
+    groups = records.select("row_id", F.col("record_fingerprint").alias("g")).join(sizes, "g")
+    return skyline_survivors(records, groups, Scratch(spark), fields=_FILLED)
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", encoded(F.col("text")).alias("ids"))
 
@@ -152,8 +171,8 @@ def p10_report(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p2_found, p2_by_period, p2_even_by_test, p3_found, p3_report, p4_found, p4_report, p5_found,
-        p5_survivors, p8_ids, p9_containers, p9_unused, p9_conflicts,
+        p1_found, p1_members, p1_splits, p2_found, p2_by_period, p2_even_by_test, p3_found, p3_report, p4_found, p4_report, p5_found,
+        p5_survivors, p5_by_fingerprint, p8_ids, p9_containers, p9_unused, p9_conflicts,
         p10_found, p10_report,
     )
 }
@@ -163,6 +182,14 @@ _SOURCE = "nullif(lower(regexp_replace(source_id, '^\\s+|\\s+$', '', 'g')), '')"
 _STRATA = f"""WITH r AS (SELECT row_id, {_SOURCE} AS source_id, {{stratum}} AS stratum, {_TRUST} AS q, extracted_at AS t FROM extraction_records),
 n AS (SELECT source_id, stratum, count(*) AS n, sum(count(*)) OVER (PARTITION BY source_id) AS total, count(*) OVER (PARTITION BY source_id) AS m FROM r WHERE source_id IS NOT NULL GROUP BY source_id, stratum),
 k AS (SELECT r.*, row_number() OVER (PARTITION BY source_id, stratum ORDER BY q DESC, t DESC NULLS LAST, row_id) AS k FROM r)"""
+_TEXTS = ("doi", "post_processing", "alloy")
+
+
+def _full(c: str) -> str:
+    return f"CASE WHEN regexp_replace({c}, '\\s+', '', 'g') <> '' THEN {c} END" if c in _TEXTS else f"CASE WHEN NOT isnan({c}) THEN {c} END"
+
+
+_COMPLETE = " + ".join(f"(({_full(c)}) IS NOT NULL)::INT" for c in COMPLETENESS)
 SQL: dict[str, str] = {
     "p2_found": f"""SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY {_SOURCE} ORDER BY {_TRUST} DESC, extracted_at DESC NULLS LAST, row_id) AS k
         FROM extraction_records WHERE {_SOURCE} IS NOT NULL) WHERE k > 25""",
@@ -170,4 +197,15 @@ SQL: dict[str, str] = {
     + """, s AS (SELECT *, 25 * n // total AS base, 25 * n % total AS rest FROM n),
     a AS (SELECT source_id, stratum, CASE WHEN total <= 25 THEN n ELSE base + CASE WHEN row_number() OVER (PARTITION BY source_id ORDER BY rest DESC, n DESC, stratum) <= 25 - sum(base) OVER (PARTITION BY source_id) THEN 1 ELSE 0 END END AS quota FROM s)
     SELECT k.row_id, k.source_id, k.stratum FROM k LEFT JOIN a ON a.source_id = k.source_id AND a.stratum IS NOT DISTINCT FROM k.stratum WHERE k.source_id IS NULL OR k.k <= a.quota""",
+    "p2_even_by_test": _STRATA.format(stratum="lower(trim(test_type))")
+    + """, v AS (SELECT source_id, max(i) AS level FROM (SELECT source_id, i FROM n CROSS JOIN range(0, 26) AS t(i) WHERE total > 25 GROUP BY source_id, i HAVING sum(least(n, i)) <= 25) GROUP BY source_id),
+    w AS (SELECT n.source_id, stratum, least(n, level) AS base, n > level AS more, 25 - sum(least(n, level)) OVER (PARTITION BY n.source_id) AS rest, row_number() OVER (PARTITION BY n.source_id, n > level ORDER BY n DESC, stratum NULLS LAST) AS place FROM n JOIN v USING (source_id)),
+    a AS (SELECT source_id, stratum, base + CASE WHEN more AND place <= rest THEN 1 ELSE 0 END AS quota FROM w)
+    SELECT k.row_id, k.source_id, k.stratum FROM k LEFT JOIN a ON a.source_id = k.source_id AND a.stratum IS NOT DISTINCT FROM k.stratum WHERE a.quota IS NULL OR k.k <= a.quota""",
+    "p5_by_fingerprint": f"""WITH RECURSIVE f AS (SELECT record_fingerprint AS g FROM extraction_records WHERE record_fingerprint IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+    r AS (SELECT g, row_id AS k, {_COMPLETE} AS c, {_TRUST} AS q, coalesce(epoch_us(extracted_at), -9223372036854775807) AS t, {", ".join(f"{_full(c)} AS {c}" for c in _FILLED)} FROM extraction_records JOIN f ON record_fingerprint = g),
+    p AS (SELECT DISTINCT g, c, q, t FROM r), d AS (SELECT a.g, a.c AS c1, a.q AS q1, a.t AS t1, b.c, b.q, b.t FROM p a JOIN p b ON a.g = b.g AND a.c >= b.c AND a.q >= b.q AND a.t >= b.t AND (a.c > b.c OR a.q > b.q OR a.t > b.t)),
+    u AS (SELECT g, c, q, t, 1 AS layer FROM p UNION SELECT d.g, d.c, d.q, d.t, u.layer + 1 FROM u JOIN d ON d.g = u.g AND d.c1 = u.c AND d.q1 = u.q AND d.t1 = u.t),
+    l AS (SELECT g, c, q, t, max(layer) AS layer FROM u GROUP BY ALL), z AS (SELECT r.*, layer, row_number() OVER (PARTITION BY g ORDER BY layer, c DESC, q DESC, t DESC, k) AS place FROM r JOIN l USING (g, c, q, t))
+    SELECT g, arg_min(k, place) AS survivor, count(*) AS n_records, max(layer)::INT AS n_layers, {", ".join(f"arg_min({c}, place) FILTER ({c} IS NOT NULL) AS {c}" for c in _FILLED)} FROM z GROUP BY g""",
 }
