@@ -192,7 +192,7 @@ def _features(q: Quantity, rows: DataFrame, files: DataFrame) -> tuple[DataFrame
 MOST_TRAINING, FOLDS = 10_000, 5
 #: Least labelled rows of least two units to learn from, how right a converted unit has to be, and the share of files whose
 #: true unit must not be ruled out.
-LEAST_TRAINING, CONFIDENT, KEPT = 50, 0.95, 0.998
+LEAST_TRAINING, CONFIDENT, KEPT = 50, 0.95, 0.9995
 
 
 def _monotone(pairs: list[tuple[float, float, int]]) -> list[tuple[float, float]]:
