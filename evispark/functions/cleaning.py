@@ -313,3 +313,24 @@ def orientation(c: str | Column) -> Column:
     t = F.regexp_replace(F.lower(filled(c)), r"\s*(°|deg(rees?)?)$", "")
     whole = F.regexp_replace(t, r"\.0+$", "")
     return F.coalesce(whole, F.lit("missing"))
+
+
+def safe_filename(c: str | Column, most: int = 170, otherwise: str = "untitled_paper") -> Column:
+    """A title as a file name: no signs that file systems forbid, single blanks, no dots or blanks at the ends."""
+    t = F.regexp_replace(F.regexp_replace(_c(c), r'[<>:"/\\|?*\x00-\x1f]', " "), r"\s+", " ")
+    ends = r"^[ .]+|[ .]+$"
+    name = F.coalesce(F.nullif(F.regexp_replace(t, ends, ""), F.lit("")), F.lit(otherwise))
+    return F.regexp_replace(F.substring(name, 1, most), r"[ .]+$", "")
+
+
+def initials(c: str | Column, most: int = 12, otherwise: str = "unknownjournal") -> Column:
+    """The first letters of a name's words."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(_c(c)), "[^a-z0-9]+", " ")), " "), lambda w: w != "")
+    code = F.substring(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""), 1, most)
+    return F.coalesce(F.nullif(code, F.lit("")), F.lit(otherwise))
+
+
+def year_of(given: Column, text: Column) -> Column:
+    """The first year from 1900 to 2099 in a value, else in a text, else "unknownyear"."""
+    found = [F.nullif(F.regexp_extract(t.cast("string"), r"\b((?:19|20)\d{2})\b", 1), F.lit("")) for t in (given, text)]
+    return F.coalesce(*found, F.lit("unknownyear"))

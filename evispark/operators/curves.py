@@ -142,3 +142,18 @@ def isotonic(df: DataFrame, keys: list[str], score: str, label: str, scratch: Sc
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
     return parts.join(steps, same).select(*keys, F.col("_x").alias(score), "value")
+
+
+def break_points(steps: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """(keys, points): both ends of each step of an isotonic function, in rising order; as many as it has steps, not points."""
+    blocks = steps.groupBy(*keys, "value").agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    ends = blocks.select(*keys, F.explode(F.array_distinct(F.array("_low", "_high"))).alias("x"), F.col("value").alias("y"))
+    return ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"))
+
+
+def interpolated(points: Column, at: Column) -> Column:
+    """Linear between the points, level beyond their ends; null without points."""
+    low = F.try_element_at(F.filter(points, lambda p: p["x"] <= at), F.lit(-1))
+    high = F.try_element_at(F.filter(points, lambda p: p["x"] >= at), F.lit(1))
+    part = (at - low["x"]) / F.nullif(high["x"] - low["x"], F.lit(0.0))
+    return F.when(low.isNull(), high["y"]).when(high.isNull(), low["y"]).otherwise(low["y"] + F.coalesce(part, F.lit(0.0)) * (high["y"] - low["y"]))

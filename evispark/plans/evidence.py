@@ -297,3 +297,39 @@ def m7_curve_residual(spark, sf):
     model = M.pipeline(numbers, ["bin", "test_type"], "gbt", "residual", boosts=30).fit(data.where("not is_test"))
     scored = model.transform(data.where("is_test")).select("y", F.explode(F.array(F.struct(F.lit("curve").alias("candidate"), F.col("base").alias("p")), F.struct(F.lit("curve_and_residual").alias("candidate"), (F.col("base") + F.col("prediction")).alias("p")))).alias("c")).select("y", "c.*")
     return A.regression_metrics(scored, ["candidate"], "y", "p")
+
+
+@query("""SELECT source_id, article_number, listed_at, rtrim(substr(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(title, '[<>:"/\\\\|?*\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'untitled_paper'), 1, 170), ' .') AS file_name,
+coalesce(nullif(substr(array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(lower(journal), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: substr(w, 1, 1)), ''), 1, 12), ''), 'unknownjournal') AS journal_code,
+coalesce(nullif(regexp_extract(CAST(CASE WHEN isfinite(pub_year) THEN pub_year::BIGINT END AS VARCHAR), '\\b((?:19|20)\\d{2})\\b', 1), ''), nullif(regexp_extract(doi, '\\b((?:19|20)\\d{2})\\b', 1), ''), 'unknownyear') AS year FROM literature_manifest""")
+def f36_names(spark, sf):
+    rows = read(spark, sf, "literature_manifest")
+    year = C.year_of(F.rint(C.finite("pub_year")).cast("bigint"), F.col("doi"))
+    return rows.select("source_id", "article_number", "listed_at", C.safe_filename("title").alias("file_name"), C.initials("journal").alias("journal_code"), year.alias("year"))
+
+
+_YES = "'true', '1', 'yes', 'runout', 'run-out', 'run out', 'run-out samples', 'run out samples', 'survived'"
+_NO = "'false', '0', 'no', 'failure', 'failed'"
+
+
+@query(f"""SELECT row_id, CASE WHEN t IN ({_YES}, 'y') THEN true WHEN t IN ({_NO}, 'n') THEN false END AS with_short, CASE WHEN t IN ({_YES}) THEN true WHEN t IN ({_NO}) THEN false END AS strict,
+coalesce(CASE WHEN t IN ({_YES}, 'y') THEN 'true' WHEN t IN ({_NO}, 'n') THEN 'false' END, runout) AS kept FROM (SELECT row_id, runout, lower(trim(runout)) AS t FROM extraction_records)""")
+def f37_runout_variants(spark, sf):
+    """Run-out words with and without single letters, and with unknown words kept as they are."""
+    short = C.truth("runout")
+    return read(spark, sf, "extraction_records").select("row_id", short.alias("with_short"), C.truth("runout", short=False).alias("strict"), F.coalesce(short.cast("string"), "runout").alias("kept"))
+
+
+@query()
+def m12_calibrated(spark, sf):
+    """The chance to live a million cycles by stress, by the isotonic steps of the alloy family or, where it has none, of
+    all, interpolated between them; for every fatigue row of the views."""
+    scratch = Scratch(spark)
+    label = F.when(F.col("fatigue_life_cycles") >= 1e6, 1).when(F.col("fatigue_life_cycles") < 1e6, 0)
+    rows = read(spark, sf, "extraction_records").select("alloy_family", (-C.finite("stress_amplitude_mpa")).alias("score"), label.alias("label")).where("score is not null and label is not null")
+    rows = scratch.keep(rows.withColumn("all", F.lit("all")))
+    own = K.break_points(K.isotonic(rows.where("alloy_family is not null"), ["alloy_family"], "score", "label", scratch), ["alloy_family"], "score")
+    whole = K.break_points(K.isotonic(rows, ["all"], "score", "label", scratch), ["all"], "score").select("points")
+    cases = read(spark, sf, "view_rows").select("view_row_id", "alloy_family", (-C.finite("stress_amplitude_mpa")).alias("score")).where("score is not null")
+    out = J.by_level(cases, [("family", own, ["alloy_family"]), ("global", whole, [])], "points")
+    return out.select("view_row_id", "level", F.round(K.interpolated(F.col("points"), F.col("score")), 6).alias("p"))

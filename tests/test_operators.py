@@ -242,3 +242,20 @@ def test_views_and_registries(spark, scratch):
         tables.load_artifact(spark, path, "other")
     with pytest.raises(ValueError):
         tables.archive(spark, path, path + "-old", ["../x"])
+
+
+def test_interpolation_is_numpys(spark, scratch):
+    rng = random.Random(3)
+    rows = [("g", float(rng.randint(0, 60)), int(rng.random() < i / 200)) for i in range(200)]
+    steps = curves.isotonic(spark.createDataFrame(rows, "g string, s double, y int"), ["g"], "s", "y", scratch)
+    points = curves.break_points(steps, ["g"], "s")
+    (known,) = points.collect()
+    at = [-5.0, 0.0, 3.3, 17.5, 41.0, 59.9, 99.0]
+    got = points.crossJoin(spark.createDataFrame([(a,) for a in at], "a double")).select("a", curves.interpolated(F.col("points"), F.col("a")).alias("v")).collect()
+    assert {r.a: pytest.approx(r.v) for r in got} == dict(zip(at, np.interp(at, [p.x for p in known.points], [p.y for p in known.points])))
+
+
+def test_names(spark):
+    df = spark.createDataFrame([(' A:B / "c"?. ', "Journal of Layered Metals", "2019.0", "x"), (" .. ", "", None, "of 1987 and 2001"), (None, None, None, None)], "t string, j string, y string, d string")
+    got = [tuple(r) for r in df.select(C.safe_filename("t"), C.initials("j"), C.year_of(F.col("y"), F.col("d"))).collect()]
+    assert got == [("A B c", "jolm", "2019"), ("untitled_paper", "unknownjournal", "1987"), ("untitled_paper", "unknownjournal", "unknownyear")]
