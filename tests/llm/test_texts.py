@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evispark.llm.packing import best_fit, conflicts, pack_bucket, pack_documents, unused_space
+from evispark.llm.packing import SPREAD, best_fit, conflicts, pack_bucket, pack_documents, unused_space
 from evispark.llm.queries import QUERIES
 from evispark.llm.spam import Batch, Corpus, Rules, Sorted, hashed_words, page_scores
 from evispark.llm.tokens import PATTERN, TOKENIZERS, encoded, tokenizer
@@ -71,7 +71,7 @@ def test_containers(capacity):
     last = out.sort_values("piece").groupby("doc_id").tail(1)
     fewest = -(-last["n_tokens"].sum() // capacity)
     last = last[last["n_tokens"] > 0].merge(items[["doc_id", "source"]])
-    shares = -(-last.groupby("source").size() // (fewest // 2))
+    shares = -(-last.groupby("source").size() // max(1, fewest // SPREAD))
     most = last.groupby(["container", "source"]).size().groupby("source").max()
     assert (most <= shares).all()
 
@@ -119,7 +119,7 @@ def test_packing_in_spark(spark, scratch):
     assert pack_documents(docs, specs.limit(0), scratch).count() == 0
     assert unused_space(pack_documents(docs, specs, scratch)).count() == 1
     met = {r.what: (r.n_meetings, r.most) for r in conflicts(pack_documents(docs, specs, scratch), docs).collect()}
-    assert met == {"text": (0, 1), "source": (1, 2)} or met == {"text": (0, 1), "source": (0, 1)}
+    assert set(met) == {"text", "source"} and all(most == n + 1 for n, most in met.values())  # few documents, two containers
 
 
 def test_little_is_left_unused(spark, scratch):
