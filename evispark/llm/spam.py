@@ -391,7 +391,10 @@ def page_scores(documents: DataFrame, scratch: Scratch, rules: Rules = Rules())
     suspected = None
     for _ in range(rules.rounds):
         corpus = spark.sparkContext.broadcast(known)
-        suspected = scratch.keep(_suspected(_with_rare(stored, counts, suspected, corpus, scratch), corpus, rules))
+        with_rare = _with_rare(stored, counts, suspected, corpus, scratch)
+        suspected = scratch.keep(_suspected(with_rare, corpus, rules))
+        if with_rare is not stored:
+            scratch.drop(with_rare)
         totals = {r.feature: r for r in suspected.where("feature < 0").collect()}
         # Of what is broadcast already: no more rows than that.
         bad = suspected.where("feature >= 0").join(counts.where(F.col("df") >= least).select("feature"), "feature", "left_semi").toPandas()
