@@ -24,6 +24,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -47,10 +48,11 @@ _HASHTAG = re.compile(r"(?<!\S)#[^\W\d_][\w-]+|(?<!\S)#\d+[\w-]*[^\W\d_][\w-]*")
 _WORD = re.compile(r"[^\W_]+")
 _NUMBER = re.compile(r"\d+[a-z]{0,2}")
 _MASK = (1 << 62) - 1
-MOST_CACHED = 1_000_000
+MOST_CACHED = 300_000
 
-#: Words of a batch of documents, and words and pairs that are broadcast at most; the others are joined. Layout only.
-BATCH_WORDS, MOST_LISTED = 250_000, 1_000_000
+#: Words of a batch of documents, batches of a stored file, and words and pairs that are broadcast at most; the others are
+#: joined. Layout only. A writer holds a hundred rows before it looks at their size, so files are kept short.
+BATCH_WORDS, FILE_BATCHES, MOST_LISTED = 250_000, 16, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -111,9 +113,9 @@ def hashed_words(text: str) -> list[int]:
 
 class Batch:
     """Words and pairs of some documents in flat arrays: the distinct ones (words, pairs; together the features), the place
-    of each among them, and which document holds which feature."""
+    of each among them, and which document holds which feature. Only the words are stored; the pairs follow from them."""
 
-    _ARRAYS = {"sizes": "<i4", "words": "<i8", "word": "<i4", "pairs": "<i8", "pair": "<i4", "held": "<i4", "holder": "<i4"}
+    _ARRAYS = {"sizes": "<i4", "words": "<i8", "word": "<i4"}
 
     @classmethod
     def of(cls, texts: list[list[int]]) -> Batch:
@@ -122,13 +124,6 @@ class Batch:
         flat = np.fromiter((w for t in texts for w in t), dtype=np.int64, count=int(b.sizes.sum()))
         b.word, b.words = pd.factorize(flat)
         b._places()
-        key = b.left * max(1, len(b.words)) + b.right
-        b.pair, distinct = pd.factorize(key)
-        x, y = np.divmod(distinct, max(1, len(b.words)))
-        b.pairs = b.mixed(b.words[x], b.words[y])
-        n = len(b.words)
-        each = pd.unique(np.r_[b.word * b.docs + b.doc, (b.pair + n) * b.docs + b.pair_doc])
-        b.held, b.holder = np.divmod(each, max(1, b.docs))
         return b
 
     def store(self) -> dict[str, bytes]:
@@ -152,6 +147,15 @@ class Batch:
         self.left, self.right, self.pair_doc = self.word[:-1][real], self.word[1:][real], self.doc[:-1][real]
         self.verbal = ~(number[:-1] | number[1:])[real]
         self.pairs_in = np.bincount(self.pair_doc, minlength=self.docs)
+        self.pair, distinct = pd.factorize(self.left * max(1, len(self.words)) + self.right)
+        x, y = np.divmod(distinct, max(1, len(self.words)))
+        self.pairs = self.mixed(self.words[x], self.words[y])
+
+    @cached_property
+    def _holding(self) -> tuple[np.ndarray, np.ndarray]:
+        """The features that documents hold, each once a document, and the documents."""
+        each = pd.unique(np.r_[self.word * self.docs + self.doc, (self.pair + len(self.words)) * self.docs + self.pair_doc])
+        return np.divmod(each, max(1, self.docs))
 
     @staticmethod
     def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,11 +183,12 @@ class Batch:
     def counts(self) -> pd.DataFrame:
         """(feature, n, df) of words and pairs."""
         features = self.features
-        return pd.DataFrame({"feature": features, "n": self.own(), "df": np.bincount(self.held, minlength=len(features))})
+        return pd.DataFrame({"feature": features, "n": self.own(), "df": np.bincount(self._holding[0], minlength=len(features))})
 
     def held_by(self, docs: np.ndarray) -> pd.DataFrame:
         """(feature, n, df): of the features that some documents hold, the number of these documents as df."""
-        df = np.bincount(self.held[docs[self.holder]], minlength=len(self.words) + len(self.pairs))
+        held, holder = self._holding
+        df = np.bincount(held[docs[holder]], minlength=len(self.words) + len(self.pairs))
         some = df > 0
         return pd.DataFrame({"feature": self.features[some], "n": 0, "df": df[some]})
 
@@ -295,7 +300,7 @@ def batches(documents: DataFrame, scratch: Scratch) -> DataFrame:
 
     shape = ", ".join(f"{k} binary" for k in ("ids", *Batch._ARRAYS))
     made = spread(documents.select("doc_id", "text")).mapInPandas(run, shape)
-    return scratch.keep(made.select(F.monotonically_increasing_id().alias("batch"), "*"))
+    return scratch.keep(made.select(F.monotonically_increasing_id().alias("batch"), "*"), FILE_BATCHES)
 
 
 def _counted(stored: DataFrame) -> DataFrame:
@@ -312,11 +317,12 @@ def _counted(stored: DataFrame) -> DataFrame:
     return stored.mapInPandas(run, _COUNTS).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
+_RARE = ["feature", "n", "df", "df_suspect"]
+
+
 def _rare_of(row: dict) -> pd.DataFrame | None:
     rare = row.get("rare")
-    if rare is None or not len(rare):
-        return None
-    return pd.DataFrame([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in rare], columns=["feature", "n", "df", "df_suspect"])
+    return pd.DataFrame(np.frombuffer(rare, dtype="<i8").reshape(-1, len(_RARE)), columns=_RARE) if rare else None
 
 
 def _suspected(stored: DataFrame, corpus, rules: Rules) -> DataFrame:
@@ -351,7 +357,7 @@ def _with_rare(stored: DataFrame, counts: DataFrame, suspected: DataFrame | None
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             for row in pdf.to_dict("records"):
-                keys = np.frombuffer(row["words"] + row["pairs"], dtype="<i8")
+                keys = Batch.stored(row).features
                 yield pd.DataFrame({"batch": row["batch"], "feature": keys[~corpus.value.counts.find(keys)[0]]})
 
     rare = counts.where((F.col("feature") >= 0) & (F.col("df") >= 2) & (F.col("df") < least))
@@ -359,9 +365,15 @@ def _with_rare(stored: DataFrame, counts: DataFrame, suspected: DataFrame | None
     if suspected is not None:
         rare = rare.join(suspected.select("feature", F.col("df").alias("bad")), "feature", "left")
         bad = F.coalesce("bad", bad)
-    asked = stored.select("batch", "words", "pairs").mapInPandas(run, "batch bigint, feature bigint")
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"batch": pdf["batch"].iloc[:1], "rare": [pdf[_RARE].to_numpy(dtype="<i8").tobytes()]})
+
+    asked = stored.select("batch", *Batch._ARRAYS).mapInPandas(run, "batch bigint, feature bigint")
     each = asked.join(rare.select("feature", "n", "df", bad.alias("df_suspect")), "feature")
-    return scratch.keep(stored.join(each.groupBy("batch").agg(F.collect_list(F.struct("feature", "n", "df", "df_suspect")).alias("rare")), "batch", "left"))
+    # As bytes: lists of rows would become objects, for all batches of a task at once.
+    lists = each.groupBy("batch").applyInPandas(packed, "batch bigint, rare binary")
+    return scratch.keep(stored.join(lists, "batch", "left"), FILE_BATCHES)
 
 
 def _least(counts: DataFrame) -> int:
@@ -386,7 +398,7 @@ def page_scores(documents: DataFrame, scratch: Scratch, rules: Rules = Rules())
     counts = scratch.keep(_counted(stored))
     total = counts.where(F.col("feature") == _TOTAL).first()
     least = _least(counts)
-    listed = counts.where((F.col("feature") >= 0) & (F.col("df") >= least)).toPandas()
+    listed = counts.where((F.col("feature") >= 0) & (F.col("df") >= least)).toArrow().to_pandas()
     known = Corpus(total.n if total else 0, total.df if total else 0, Sorted(listed, "n", "df"), least)
     suspected = None
     for _ in range(rules.rounds):
@@ -397,7 +409,7 @@ def page_scores(documents: DataFrame, scratch: Scratch, rules: Rules = Rules())
             scratch.drop(with_rare)
         totals = {r.feature: r for r in suspected.where("feature < 0").collect()}
         # Of what is broadcast already: no more rows than that.
-        bad = suspected.where("feature >= 0").join(counts.where(F.col("df") >= least).select("feature"), "feature", "left_semi").toPandas()
+        bad = suspected.where("feature >= 0").join(counts.where(F.col("df") >= least).select("feature"), "feature", "left_semi").toArrow().to_pandas()
         pages = totals[_PMI].df if totals else 0
         mean = totals[_PMI].n / 1e6 / pages if pages else 0.0
         pmi = (mean, max(0.0, totals[_PMI2].n / 1e6 / pages - mean * mean) ** 0.5) if pages else None

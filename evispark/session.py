@@ -55,10 +55,11 @@ class Scratch:
         fs.mkdirs(hadoop)
         fs.deleteOnExit(hadoop)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, file_rows: int = 0) -> DataFrame:
+        """The table written and read back, in files of at most ``file_rows`` rows (0: any number)."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", file_rows).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._evispark_path = path
         return back

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from evispark.llm import spam
 from evispark.llm.packing import SPREAD, best_fit, conflicts, pack_bucket, pack_documents, unused_space
 from evispark.llm.queries import QUERIES
 from evispark.llm.spam import Batch, Corpus, Rules, Sorted, hashed_words, page_scores
@@ -204,6 +205,25 @@ def test_pages_stuffed_with_their_own_words(spark, scratch, monkeypatch):
         assert {r.doc_id for r in page_scores(df, scratch).where("found").collect()} == want
 
 
+def test_stored_batches_are_small(spark, scratch, monkeypatch):
+    """Short files of the words alone; rare counts as bytes, not as lists of rows."""
+    monkeypatch.setattr(spam, "BATCH_WORDS", 40)
+    good, bad = corpus()
+    texts = [t for t in good + bad if len(hashed_words(t)) > 40]
+    df = spark.createDataFrame(list(enumerate(texts * 10)), "doc_id long, text string").coalesce(1)
+    stored = spam.batches(df, scratch)
+    assert max(r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()) <= 16 < stored.count()
+    assert set(stored.columns) == {"batch", "ids", "sizes", "words", "word"}
+    counts = scratch.keep(spam._counted(stored))
+    known = spark.sparkContext.broadcast(Corpus(1, 1, Sorted(counts.limit(0).toPandas(), "n", "df"), 1_000_000))
+    rare = spam._with_rare(stored, counts, None, known, scratch)
+    assert dict(rare.dtypes)["rare"] == "binary" and rare.count() == stored.count()
+    row = rare.first().asDict()
+    want = {r.feature: (r.n, r.df) for r in counts.where("df >= 2 and feature >= 0").collect()}
+    got = {r.feature: (r.n, r.df) for r in spam._rare_of(row).itertuples()}
+    assert got == {f: want[f] for f in Batch.stored(row).features.tolist() if f in want} and got
+
+
 def test_word_salad_without_suspects(spark, scratch):
     good, _ = corpus()
     rng = random.Random(3)
