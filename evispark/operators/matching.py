@@ -1,8 +1,9 @@
-"""Fuzzy matching of titles: a near one by shared rare words, then all whose letters could come nearer."""
+"""Fuzzy matching of titles: a near one by common letters, then all whose letters could come nearer."""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,11 @@ def title_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
-#: Titles of the left and the right side in one block of pairs.
-LEFT_BLOCK, RIGHT_BLOCK = 250, 5_000
+#: Titles of the left and the right side in one block of pairs; titles by letters that a first match is sought among: where
+#: the search starts, not what it finds.
+LEFT_BLOCK, RIGHT_BLOCK, LIKELY = 250, 5_000, 8
+#: What is rounded off a similarity.
+SLACK = 1e-6
 
 
 def _similar(x: str | None, y: str | None) -> float:
@@ -47,126 +51,143 @@ class Titles:
 
     def __init__(self, texts: list[str]):
         self.texts = texts
-        self.code = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
         self.size = np.array([len(t) for t in texts])
-        self.plain, self.ordered = self._codes(texts), self._codes([_sorted(t) for t in texts])
-        self.counts = np.stack([(self.plain == i).sum(axis=0) for i in range(len(self.code))], axis=1).astype(np.int16)
+        self.code = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
+        at = np.repeat(np.arange(len(texts)), self.size) * len(self.code) + self._flat(texts)
+        self.counts = np.bincount(at, minlength=len(texts) * len(self.code)).reshape(len(texts), -1).astype(np.int16)
+
+    def _flat(self, texts: list[str]) -> np.ndarray:
+        points = np.array([ord(c) for c in self.code], dtype=np.uint32)  # sorted like the letters
+        return np.searchsorted(points, np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4"))
+
+    @cached_property
+    def plain(self) -> np.ndarray:
+        return self._codes(self.texts)
+
+    @cached_property
+    def ordered(self) -> np.ndarray:
+        return self._codes([_sorted(t) for t in self.texts])
 
     def _codes(self, texts: list[str]) -> np.ndarray:
-        out = np.full((self.size.max(), len(texts)), len(self.code), dtype=np.int32)
-        for i, t in enumerate(texts):
-            out[: len(t), i] = [self.code[c] for c in t]
+        """A row of codes for each text, filled up with one that is no letter's."""
+        sizes = np.array([len(t) for t in texts])
+        out = np.full((len(texts), sizes.max()), len(self.code), dtype=np.int32)
+        out[np.arange(sizes.max()) < sizes[:, None]] = self._flat(texts)
         return out
 
     def _common(self, x: str, codes: np.ndarray) -> np.ndarray:
-        """Length of the longest common subsequence with each column of codes, by bits of x."""
+        """Length of the longest common subsequence with each row of codes, by bits of x."""
         words = -(-len(x) // 64)
         held = np.zeros((words, len(self.code) + 1), dtype=np.uint64)
         for i, c in enumerate(x):
             if c in self.code:
                 held[i // 64, self.code[c]] |= np.uint64(1 << i % 64)
-        v = np.full((words, codes.shape[1]), ~np.uint64(0))
-        for row in codes:
-            carry = np.zeros(codes.shape[1], dtype=np.uint64)
+        v = np.full((words, len(codes)), ~np.uint64(0))
+        for row in np.ascontiguousarray(codes.T):
+            carry = None
             for w in range(words):
-                u = v[w] & held[w][row]
-                one = v[w] + u
-                two = one + carry
-                carry = ((one < u) | (two < one)).astype(np.uint64)
+                u = v[w] & held[w].take(row)
+                two = one = v[w] + u
+                over = one < u
+                if carry is not None:
+                    two = one + carry
+                    over |= two < one
+                carry = over.astype(np.uint64)
                 v[w] = two | (v[w] ^ u)
         return np.bitwise_count(~v).sum(axis=0)
 
+    def _letters(self, x: str) -> tuple[np.ndarray, np.ndarray]:
+        """The letters in common with each title, and the bound that they are of the similarity."""
+        mine = np.array([x.count(c) for c in self.code], dtype=np.int16)
+        common = np.minimum(self.counts, mine).sum(axis=1, dtype=np.int64)
+        return common, 2 * common / (self.size + len(x))
+
+    def likely(self, x: str, least: float, most: int) -> list[tuple[int, float]]:
+        """(place, bound) of at most ``most`` titles with the highest bounds by letters, from ``least`` on."""
+        letters = self._letters(x)[1]
+        top = np.argpartition(-letters, most)[:most] if len(letters) > most else np.arange(len(letters))
+        return [(int(i), float(letters[i])) for i in top if letters[i] >= least - SLACK]
+
     def nearest(self, x: str, least: float) -> tuple[int, float] | None:
         """(place, similarity) of the first most similar title, from ``least`` on.
 
         Matching blocks are a common subsequence, so they hold at most the longest one, and that at most the common letters;
-        what is below by either bound isn't scored."""
-        mine = np.array([x.count(c) for c in self.code], dtype=np.int16)
-        total, slack = self.size + len(x), 1e-6
-        letters = 2 * np.minimum(self.counts, mine).sum(axis=1, dtype=np.int64) / total
-        inside = [i for i in np.flatnonzero(letters >= 0.6) if (x in self.texts[i] or self.texts[i] in x) and min(len(x), self.size[i]) >= 20]
-        near = np.flatnonzero(letters >= least - slack)
-        bound = 2 * np.maximum(self._common(x, self.plain[: self.size[near].max(), near]), self._common(_sorted(x), self.ordered[: self.size[near].max(), near])) / total[near] if len(near) else np.zeros(0)
+        what is below by either bound isn't scored. Titles come by their letters, so what is found cuts off the rest."""
+        common, letters = self._letters(x)
+        # One that holds the other has all its letters in common.
+        inside = np.flatnonzero((common == np.minimum(self.size, len(x))) & (np.minimum(self.size, len(x)) >= 20))
         best = None
-        for b, i in sorted([(1.0, i) for i in inside] + list(zip(bound, near)), key=lambda v: (-v[0], v[1])):
-            if b < (best[0] if best else least) - slack:
-                break
-            score = round(_similar(x, self.texts[i]), 6)
-            if score >= least - slack and (best is None or (score, -i) > (best[0], -best[1])):
-                best = score, i
-        return (int(best[1]), best[0]) if best else None
-
-
-@F.pandas_udf(T.DoubleType())
-def word_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the words of the longest common subsequence over all words."""
 
-    def one(x: list[str], y: list[str]) -> float:
-        row = [0] * (len(y) + 1)
-        for u in x:
-            before = 0
-            for j, v in enumerate(y, 1):
-                before, row[j] = row[j], before + 1 if u == v else max(row[j], row[j - 1])
-        return 2 * row[-1] / max(1, len(x) + len(y))
-
-    return pd.Series([one(x.split(), y.split()) for x, y in zip(a, b)], dtype="float64")
+        def score(places) -> None:
+            nonlocal best
+            for b, i in places:
+                if b < (best[0] if best else least) - SLACK:
+                    break
+                got = round(_similar(x, self.texts[i]), 6)
+                if got >= least - SLACK and (best is None or (got, -i) > (best[0], -best[1])):
+                    best = got, int(i)
+
+        score((1.0, i) for i in inside if x in self.texts[i] or self.texts[i] in x)
+        near = np.flatnonzero(letters >= least - SLACK)
+        near = near[np.argsort(-letters[near], kind="stable")]
+        at, step = 0, 32
+        while at < len(near) and letters[near[at]] >= (best[0] if best else least) - SLACK:
+            some, at, step = near[at : at + step], at + step, step * 4
+            some = some[letters[some] >= (best[0] if best else least) - SLACK]
+            longest = self.size[some].max()
+            same = np.maximum(self._common(x, self.plain[some, :longest]), self._common(_sorted(x), self.ordered[some, :longest]))
+            score(sorted(zip(2 * same / (self.size[some] + len(x)), some), key=lambda v: (-v[0], v[1])))
+        return (best[1], best[0]) if best else None
 
 
 def best_titles(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float = 0.72, sure: float = 0.86, shared: float = 0.9) -> DataFrame:
     """(left_key, right_key, score, needs_review): for each left key its most similar right key by letters, from ``least`` on.
 
-    Both sides are (key, title), any number of titles a key. A first match shares the part ``shared`` of the words: of n
-    words, one of the n - ceil(shared n) + 1 rarest must be among the rarest of the other. Then, in blocks of all pairs,
-    every title is scored whose letters allow ``least`` and no less than the first match, so none is missed."""
+    Both sides are (key, title), any number of titles a key; each distinct title is searched once. In blocks of all pairs, a
+    first match is found among the titles with most letters in common; then every title is scored whose letters allow
+    ``least`` and no less than the first match, so none is missed. ``shared`` is of a former search and changes nothing."""
     a = left.select(F.col(left_key).alias("_a"), title_text(F.col("title")).alias("_x")).where("_x <> ''")
-    b = right.select(F.col(right_key).alias("_b"), title_text(F.col("title")).alias("_y")).where("_y <> ''")
+    b = right.select(F.col(right_key).alias("_b"), title_text(F.col("title")).alias("_y")).where("_y <> ''").groupBy("_y").agg(F.min("_b").alias("_b"))
     # Equal titles need no search; they are the best there can be.
     equal = a.join(b, F.col("_x") == F.col("_y")).groupBy("_a").agg(F.min("_b").alias("_b")).select("_a", "_b", F.lit(1.0).alias("score"))
-    a = a.join(equal, "_a", "left_anti")
-    words = lambda df, key, text: df.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("_w"))
-    wa, wb = words(a, "_a", "_x"), words(b, "_b", "_y")
-    rarity = wb.groupBy("_w").agg(F.count("*").alias("_n"))
-
-    def prefix(df: DataFrame, key: str) -> DataFrame:
-        w = Window.partitionBy(key)
-        ranked = df.join(rarity, "_w", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-        ranked = ranked.withColumn("_k", F.row_number().over(w.orderBy("_n", "_w"))).withColumn("_of", F.count("*").over(w))
-        return ranked.where(F.col("_k") <= F.col("_of") - F.ceil(F.col("_of") * shared) + 1).select(key, "_w")
-
-    # A few with most of these words are enough here: it is only where the search of all begins.
-    pairs = prefix(wa, "_a").join(prefix(wb, "_b"), "_w").groupBy("_a", "_b").agg(F.count("*").alias("_n"))
-    pairs = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("_a").orderBy(F.desc("_n"), "_b"))).where("_k <= 3").select("_a", "_b")
-    # Scoring is CPU work on few bytes: spread over the cores, where adaptive execution would take one task.
-    spread = pairs.join(a, "_a").join(b, "_b").repartition(left.sparkSession.sparkContext.defaultParallelism * 2, "_a", "_b")
-    near = spread.withColumn("_s", word_similarity("_x", "_y"))
-    near = near.withColumn("_k", F.row_number().over(Window.partitionBy("_a").orderBy(F.desc("_s"), "_b"))).where("_k = 1")
-    scored = near.withColumn("score", F.round(similarity("_x", "_y"), 6)).where(F.col("score") >= least)
-    first = scored.select("_a", "_b", "score")
-    scored = _nearest(a.join(first.select("_a", F.col("score").alias("_s")), "_a", "left"), b, least).unionAll(first).unionAll(equal)
-    best = scored.withColumn("_k", F.row_number().over(Window.partitionBy("_a").orderBy(F.desc("score"), "_b"))).where("_k = 1")
+    a = a.join(equal, "_a", "left_anti").distinct()
+    found = _nearest(a.select("_x").distinct(), b, least).join(a, "_x").select("_a", "_b", "score").unionAll(equal)
+    best = found.withColumn("_k", F.row_number().over(Window.partitionBy("_a").orderBy(F.desc("score"), "_b"))).where("_k = 1")
     return best.select(F.col("_a").alias(left_key), F.col("_b").alias(right_key), "score", (F.col("score") < sure).alias("needs_review"))
 
 
 def _nearest(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(_a, _b, score) of the nearest of each block of right titles, no less than the score _s known so far."""
-    a, b = a.distinct(), b.groupBy("_y").agg(F.min("_b").alias("_b"))
+    """(_x, _b, score) of the nearest of each block of right titles, no less than the best of the likely ones of all blocks."""
     blocks = lambda df, size: max(1, -(-df.count() // size))
     n, m = blocks(a, LEFT_BLOCK), blocks(b, RIGHT_BLOCK)
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    x = a.select("_a", "_x", "_s", F.pmod(F.xxhash64("_x"), F.lit(n)).cast("int").alias("_i"), each(m).alias("_j"))
-    y = b.select("_b", "_y", F.pmod(F.xxhash64("_y"), F.lit(m)).cast("int").alias("_j"), each(n).alias("_i"))
-    kinds = dict(a.dtypes)["_a"], dict(b.dtypes)["_b"]
-
-    def run(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(u) and len(v):
-            v = v.sort_values("_b", kind="stable")
-            titles, keys = Titles(list(v["_y"])), list(v["_b"])
-            for key, text, known in zip(u["_a"], u["_x"], u["_s"]):
-                hit = titles.nearest(text, least if pd.isna(known) else max(least, known))
-                if hit:
-                    found.append((key, keys[hit[0]], hit[1]))
-        return pd.DataFrame(found, columns=["_a", "_b", "score"])
-
-    x, y = (df.repartition(n * m, "_i", "_j") for df in (x, y))
-    return x.groupBy("_i", "_j").cogroup(y.groupBy("_i", "_j")).applyInPandas(run, f"_a {kinds[0]}, _b {kinds[1]}, score double")
+    kind = dict(b.dtypes)["_b"]
+    y = b.select("_b", "_y", F.pmod(F.xxhash64("_y"), F.lit(m)).cast("int").alias("_j"), each(n).alias("_i")).repartition(n * m, "_i", "_j")
+
+    def by_blocks(left: DataFrame, search, columns: list[str], shape: str) -> DataFrame:
+        def run(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            if len(u) and len(v):
+                v = v.sort_values("_b", kind="stable")
+                titles, keys = Titles(list(v["_y"])), list(v["_b"])
+                for row in u.itertuples(index=False):
+                    found += search(titles, keys, row)
+            return pd.DataFrame(found, columns=columns)
+
+        x = left.select("*", F.pmod(F.xxhash64("_x"), F.lit(n)).cast("int").alias("_i"), each(m).alias("_j")).repartition(n * m, "_i", "_j")
+        return x.groupBy("_i", "_j").cogroup(y.groupBy("_i", "_j")).applyInPandas(run, shape)
+
+    def likely(titles: Titles, keys: list, row) -> list[tuple]:
+        return [(row[0], titles.texts[i], bound) for i, bound in titles.likely(row[0], least, LIKELY)]
+
+    def nearest(titles: Titles, keys: list, row) -> list[tuple]:
+        x, known = row[0], row[1]
+        hit = titles.nearest(x, least if pd.isna(known) else max(least, known))
+        return [(x, keys[hit[0]], hit[1])] if hit else []
+
+    top = by_blocks(a.select("_x"), likely, ["_x", "_y", "_s"], "_x string, _y string, _s double")
+    top = top.withColumn("_k", F.row_number().over(Window.partitionBy("_x").orderBy(F.desc("_s"), "_y"))).where(F.col("_k") <= LIKELY)
+    # Scoring is CPU work on few bytes: spread over the cores, where adaptive execution would take one task.
+    top = top.select("_x", "_y").repartition(a.sparkSession.sparkContext.defaultParallelism * 2, "_x")
+    first = top.withColumn("_s", F.round(similarity("_x", "_y"), 6)).where(F.col("_s") >= least).groupBy("_x").agg(F.max("_s").alias("_s"))
+    return by_blocks(a.join(first, "_x", "left").select("_x", "_s"), nearest, ["_x", "_b", "score"], f"_x string, _b {kind}, score double")

@@ -154,6 +154,16 @@ def test_best_titles_are_those_of_all_pairs(spark, monkeypatch, block):
     assert set(got) == {"p1", "p2", "p3", "p4"}
 
 
+def test_few_titles_are_compared_once_a_near_one_is_found(monkeypatch):
+    words = ["fatigue", "steel", "bars", "printed", "laser", "bed", "fusion", "tests", "air"]
+    texts = [" ".join(words[i % 9 :] + words[: i % 9]) + f" {i:03d} " + words[i // 9 % 9] for i in range(600)]
+    held, common = [], matching.Titles._common
+    monkeypatch.setattr(matching.Titles, "_common", lambda self, x, codes: held.append(len(found := common(self, x, codes))) or found)
+    x = texts[321].replace("laser", "lasr")
+    assert matching.Titles(texts).nearest(x, 0.72) == (321, round(matching._similar(x, texts[321]), 6))
+    assert sum(held) < 2 * len(texts)
+
+
 def test_files(spark, tmp_path):
     from pyspark.sql import types as T
 
