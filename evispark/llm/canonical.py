@@ -145,12 +145,12 @@ def _learnt(values: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def reference_forms(records: DataFrame, terms: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(field_name, compact, term_id): listed forms and those that the records themselves explain in brackets.
+    """(field_name, compact, term_id, k): listed forms (k 0) and those that the records themselves explain in brackets.
 
-    At most the listed forms and MOST_FORMS for each entry, so bounded by the list, not by the records."""
+    Those with a k up to MOST_FORMS are bounded by the list, not by the records; the others are to be joined."""
     spark = records.sparkSession
     listed = spark.createDataFrame(_listed(terms, fields), "field_name string, compact string, term_id bigint")
-    return listed.unionAll(_learnt(_values(records, fields), listed).where(F.col("k") <= MOST_FORMS).drop("k"))
+    return listed.withColumn("k", F.lit(0)).unionAll(_learnt(_values(records, fields), listed))
 
 
 def _letters(s: str) -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evispark.llm.canonical import reference_forms
+from evispark.llm.canonical import MOST_FORMS, reference_forms
 from evispark.llm.components import connected_components
 from evispark.llm.text import delete_keys, doi_key, plain, source_key, typo_distance, words
 from evispark.session import Scratch
@@ -89,16 +89,19 @@ def _aliased(dictionary: dict[str, int]):
     longest = max(map(len, dictionary), default=0)
     starts = {k[:2] for k in dictionary}
 
-    def one(tokens: list[str]) -> list[str]:
+    def one(tokens: list[str], own: dict[str, int]) -> list[str]:
+        """own: forms in this title that the dictionary doesn't hold."""
         out, i = [], 0
+        most, begins = max(longest, max(map(len, own), default=0)), starts | {k[:2] for k in own}
         while i < len(tokens):
-            if tokens[i][:2] in starts or len(tokens[i]) == 1:
+            if tokens[i][:2] in begins or len(tokens[i]) == 1:
                 n, letters = 0, 0
-                while i + n < len(tokens) and letters + len(tokens[i + n]) <= longest:
+                while i + n < len(tokens) and letters + len(tokens[i + n]) <= most:
                     letters += len(tokens[i + n])
                     n += 1
                 for n in range(n, 0, -1):
-                    if (hit := dictionary.get("".join(tokens[i : i + n]))) is not None:
+                    form = "".join(tokens[i : i + n])
+                    if (hit := dictionary.get(form, own.get(form))) is not None:
                         out.append(f"<{hit}>")
                         i += n
                         break
@@ -114,7 +117,8 @@ def _aliased(dictionary: dict[str, int]):
 
 
 def title_keys(titles: DataFrame, forms: DataFrame, scratch: Scratch) -> DataFrame:
-    """(s, title key) of distinct (s, title). forms: (compact, term_id), bounded by canonical.reference_forms."""
+    """(s, title key) of distinct (s, title). forms: (compact, term_id, k) of canonical.reference_forms; those with a k beyond
+    MOST_FORMS are joined to the titles that hold them."""
     parsed = scratch.keep(
         titles.select("title").distinct().withColumn("p", title_parts("title"))
         .select(F.md5("title").alias("tid"), "title", "p.*").where(F.size("main") >= LEAST_WORDS)
@@ -134,18 +138,27 @@ def title_keys(titles: DataFrame, forms: DataFrame, scratch: Scratch) -> DataFra
             for p, n in ((0, "main"), (1, "sub"))
         ))
     )
-    alias = _aliased({r.compact: r.term_id for r in forms.collect()})
+    forms = scratch.keep(forms.select("compact", "term_id", "k"))
+    alias = _aliased({r.compact: r.term_id for r in forms.where(F.col("k") <= MOST_FORMS).collect()})
+    rest = forms.where(F.col("k") > MOST_FORMS).groupBy("compact").agg(F.min("term_id").alias("term_id"))
+    longest = rest.agg(F.max(F.length("compact"))).first()[0]
+    own = F.lit(None).cast("array<struct<compact:string,term_id:bigint>>")
+    if longest:
+        fixed = scratch.keep(fixed)
+        runs = F.expr("flatten(transform(sequence(1, size(main)), i -> transform(sequence(1, size(main) - i + 1), n -> concat_ws('', slice(main, i, n)))))")
+        held = fixed.where("size(main) > 0").select("tid", F.explode(runs).alias("compact")).where(F.length("compact") <= longest).distinct().join(rest, "compact")
+        fixed, own = fixed.join(held.groupBy("tid").agg(F.collect_list(F.struct("compact", "term_id")).alias("own")), "tid", "left"), F.col("own")
 
     @F.pandas_udf("main string, sub string, cuts array<struct<main:string,rest:string>>")
-    def keys(main: pd.Series, sub: pd.Series, colon: pd.Series) -> pd.DataFrame:
+    def keys(main: pd.Series, sub: pd.Series, colon: pd.Series, own: pd.Series) -> pd.DataFrame:
         rows = []
-        for m, s, c in zip(main, sub, colon):
-            m = alias(list(m))
+        for m, s, c, o in zip(main, sub, colon, own):
+            m = alias(list(m), {x["compact"]: x["term_id"] for x in o} if o is not None else {})
             cuts = [] if c else [{"main": "".join(m[:i]), "rest": "".join(m[i:])} for i in range(LEAST_WORDS, len(m))]
             rows.append(("".join(m), "".join(s), cuts))
         return pd.DataFrame(rows, columns=["main", "sub", "cuts"])
 
-    keyed = scratch.keep(fixed.select("tid", keys("main", "sub", "colon").alias("k")).select("tid", "k.*"))
+    keyed = scratch.keep(fixed.select("tid", keys("main", "sub", "colon", own).alias("k")).select("tid", "k.*"))
     # Subtitles that lost their colon: the rest starts a known subtitle and what precedes it is a known main part.
     starts = (
         keyed.where("length(sub) >= 4").select("sub").distinct()

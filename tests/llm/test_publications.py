@@ -128,3 +128,19 @@ def test_registered_splits(spark):
     share = {r.split_name: r["count"] / records.count() for r in out.groupBy("split_name").count().collect()}
     for r in spark.read.parquet(f"{sf}/split_plan.parquet").collect():
         assert abs(share[r.split_name] - r.row_share) < 0.03
+
+
+def test_forms_beyond_the_broadcast_ones_count_too(spark, scratch, monkeypatch):
+    """A title with any learnt form of an entry has the key of the same title with the entry's name."""
+    forms = ["sparkmet", "zetalloy", "quorbic"]
+    title = "Fatigue life of {} brackets in moist air"
+    rows = [(f"s{i}", title.format(name)) for i, name in enumerate(["AlSi10Mg", *forms])]
+    records = [(i, s, f"r{i}", t, None, None, None) for i, (s, t) in enumerate(rows)]
+    records += [(100 + i, f"x{i}", f"x{i}", None, None, f"{f} (AlSi10Mg)", None) for f in forms for i in range(2)]
+    df = spark.createDataFrame(records, RECORDS.split(", key")[0])
+    terms = spark.createDataFrame(LIST, TERMS)
+    for most in (200, 1):
+        for module in ("canonical", "publications"):
+            monkeypatch.setattr(f"evispark.llm.{module}.MOST_FORMS", most, raising=False)
+        pubs = {r.s: r.pub for r in publications(df, terms, scratch).collect()}
+        assert {pubs[s] for s, _ in rows} == {"s0"}
