@@ -7,7 +7,7 @@ items beyond the capacity are cut: full pieces fill containers of their own, the
 
 What conflicts: two copies of one text, and two documents of one source. Where there are more of them than containers they
 can't all be apart, so they are dealt out into shares that can: of a text one copy for each container the bucket needs at
-least, of a source a part of that (SPREAD). Documents of one share never meet, so no container holds more of a text or a
+least, of a source a part of that, less where no container more is needed for it (SPREAD). Documents of one share never meet, so no container holds more of a text or a
 source than it has shares. ``conflicts`` reports what had to meet.
 
 Items are dealt to buckets by the hash of their key, so copies and sources are dealt evenly, and each bucket is packed on
@@ -28,6 +28,7 @@ BUCKET_TOKENS = 6_000_000
 #: A container holds at most so many times a source's even part (and one document). Small documents fill what large ones
 #: leave, so the even part itself would leave a tenth unused (sf0.1, 8192 tokens); from 16 on it is under 0.1 %.
 SPREAD = 32
+#: Half of it, and half again, is taken as long as a bucket needs no container more.
 MOST_SPECS = 100
 
 
@@ -92,6 +93,20 @@ def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity
     return out
 
 
+def _tightest(sizes: list[int], copies: list[int], source: np.ndarray, fewest: int, capacity: int) -> list[int]:
+    """best_fit with the sources as far apart as needs no container more than SPREAD does."""
+    spread, bits = SPREAD, _bits(source, fewest // SPREAD)
+    best = best_fit(sizes, copies, bits, capacity)
+    while spread > 1 and any(bits):
+        spread //= 2
+        bits = _bits(source, fewest // spread)
+        closer = best_fit(sizes, copies, bits, capacity)
+        if max(closer, default=-1) > max(best, default=-1):
+            break
+        best = closer
+    return best
+
+
 def pack_bucket(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """(doc_id, piece, first_token, n_tokens, container) of the items (doc_id, n, cluster, source) of one bucket."""
     n = pdf["n"].to_numpy(dtype="int64")
@@ -106,7 +121,7 @@ def pack_bucket(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     order = np.lexsort((ids, source, cluster, -rest, alone))
     some = order[rest[order] > 0]
     placed = np.zeros(len(n), dtype="int64")  # what has no tokens stands in the first container
-    placed[some] = best_fit(rest[some].tolist(), _bits(cluster[some], fewest), _bits(source[some], fewest // SPREAD), capacity)
+    placed[some] = _tightest(rest[some].tolist(), _bits(cluster[some], fewest), source[some], fewest, capacity)
     used = int(placed.max(initial=-1)) + 1
     return pd.DataFrame(
         {

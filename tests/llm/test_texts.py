@@ -77,6 +77,16 @@ def test_containers(capacity):
     assert (most <= shares).all()
 
 
+def test_sources_are_as_far_apart_as_space_allows():
+    """Many small documents of twenty sources: no more of one in a container than its even part, without a container more."""
+    rng = np.random.default_rng(5)
+    items = pd.DataFrame({"doc_id": np.arange(4000), "n": rng.integers(20, 60, 4000), "cluster": np.arange(4000), "source": np.arange(4000) % 20})
+    out = pack_bucket(items, 2048).merge(items[["doc_id", "source"]])
+    fewest = -(-items["n"].sum() // 2048)
+    assert out["container"].nunique() <= fewest + 1
+    assert out.groupby(["container", "source"]).size().max() <= 2 * -(-200 // fewest)
+
+
 def test_more_copies_than_containers():
     """A third of all rows is one text: every container gets its copies as evenly as it can."""
     items = bucket(900, 2)
